@@ -3,20 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination
+from helixframe.llm import decontamination, language, mixing
 from helixframe.llm.shared import documents, stash
 
 #: No SQL form: several stages cannot be expressed in it; the tests hold a brute-force version.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters or far from every language go; the profiles learn from all documents with a lang."""
+    found = language.identify(docs, language.profiles(docs), keep=docs.columns)
+    guess, score = (F.col(c) for c in found.columns[len(docs.columns) :][:2])
+    return found.where(~language.rejected(guess, score)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of two benchmark items or more go."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("decontaminate", decontaminate)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources at their target weights: copies and pieces of documents, as taken."""
+    return mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("decontaminate", decontaminate),
+    ("mix", mix_sources),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

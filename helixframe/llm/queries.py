@@ -7,8 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination
-from helixframe.llm.shared import documents
+from helixframe.llm import decontamination, language, mixing
+from helixframe.llm.shared import crc_mod, documents
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = crc_mod(F.col("doc_id"), 4)
+    profile = language.profiles(docs.where(fold != 2))
+    held_out = docs.select("doc_id", "text", (fold == 2).alias("held_out"))
+    return language.identify(held_out, profile, keep=["doc_id", "held_out"])
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +32,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("row.doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language": op2_language,
         "op8_decontamination": op8_decontamination,
+        "op9_mixing": op9_mixing,
     }
 
 
