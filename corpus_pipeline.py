@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, language, mixing
+from helixframe.llm import decontamination, language, mixing, ngram_join
 from helixframe.llm.shared import documents, stash
 
 #: No SQL form: several stages cannot be expressed in it; the tests hold a brute-force version.
@@ -19,6 +19,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return found.where(~language.rejected(guess, score)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies the document of least id stays."""
+    return ngram_join.one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of two benchmark items or more go."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -31,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", identify_language),
+    ("near-copies", join_near_copies),
     ("decontaminate", decontaminate),
     ("mix", mix_sources),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, language, mixing
+from helixframe.llm import decontamination, language, mixing, ngram_join
 from helixframe.llm.shared import crc_mod, documents
 
 
@@ -19,6 +19,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(held_out, profile, keep=["doc_id", "held_out"])
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.Join(documents(spark, sf_dir)).documents()
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -39,6 +43,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language": op2_language,
+        "op5_ngram_join": op5_ngram_join,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
     }
