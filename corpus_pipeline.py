@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, language, mixing, ngram_join
+from helixframe.llm import decontamination, language, mixing, ngram_join, token_files
 from helixframe.llm.shared import documents, stash
 
 #: No SQL form: several stages cannot be expressed in it; the tests hold a brute-force version.
@@ -34,11 +34,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as token ids in binary files, and where in them each document lies."""
+    return token_files.encoded(docs)
+
+
 STAGES = [
     ("language", identify_language),
     ("near-copies", join_near_copies),
     ("decontaminate", decontaminate),
     ("mix", mix_sources),
+    ("token-ids", write_token_ids),
 ]
 
 

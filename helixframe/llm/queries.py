@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, language, mixing, ngram_join
+from helixframe.llm import decontamination, language, mixing, ngram_join, token_files
 from helixframe.llm.shared import crc_mod, documents
 
 
@@ -40,12 +40,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language": op2_language,
         "op5_ngram_join": op5_ngram_join,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
+        "op10_token_files": op10_token_files,
     }
 
 
