@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, language, mixing, ngram_join, token_files
+from helixframe.llm import decontamination, language, language_model, mixing, ngram_join, token_files
 from helixframe.llm.shared import crc_mod, documents
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"))
+    return language_model.score(held_out, ~F.col("held_out"), keep=["doc_id", "held_out"])
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     fold = crc_mod(F.col("doc_id"), 4)
@@ -46,6 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_model": op1_language_model,
         "op2_language": op2_language,
         "op5_ngram_join": op5_ngram_join,
         "op8_decontamination": op8_decontamination,
