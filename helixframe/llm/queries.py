@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, language, language_model, mixing, ngram_join, token_files
+from helixframe.llm import decontamination, language, language_model, mixing, ngram_join, secrets, token_files
 from helixframe.llm.shared import crc_mod, documents
 
 
@@ -25,6 +25,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(held_out, profile, keep=["doc_id", "held_out"])
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.Join(documents(spark, sf_dir)).documents()
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_model": op1_language_model,
         "op2_language": op2_language,
+        "op3_secrets": op3_secrets,
         "op5_ngram_join": op5_ngram_join,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
