@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, language, language_model, mixing, ngram_join, secrets, token_files
+from helixframe.llm import decontamination, fingerprints, language, language_model, mixing, ngram_join, secrets, token_files
 from helixframe.llm.shared import crc_mod, documents
 
 
@@ -33,6 +33,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.Join(documents(spark, sf_dir)).documents()
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(documents(spark, sf_dir))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_language": op2_language,
         "op3_secrets": op3_secrets,
         "op5_ngram_join": op5_ngram_join,
+        "op6_fingerprints": op6_fingerprints,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
         "op10_token_files": op10_token_files,
