@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, fingerprints, language, language_model, mixing, ngram_join, secrets, token_files
+from helixframe.llm import decontamination, fingerprints, language, language_model, mixing, ngram_join, pseudonyms, secrets, token_files
 from helixframe.llm.shared import crc_mod, documents
 
+#: For the registered query only: a real run brings its own secret.
+PSEUDONYM_KEY = b"key of the registered query"
+
 
 def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -37,6 +40,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited(documents(spark, sf_dir))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymize(documents(spark, sf_dir), PSEUDONYM_KEY)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
@@ -65,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op5_ngram_join": op5_ngram_join,
         "op6_fingerprints": op6_fingerprints,
+        "op7_pseudonyms": op7_pseudonyms,
         "op8_decontamination": op8_decontamination,
         "op9_mixing": op9_mixing,
         "op10_token_files": op10_token_files,
