@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm import decontamination, fingerprints, language, language_model, mixing, ngram_join, pseudonyms, secrets, token_files
+from helixframe.llm import decontamination, fingerprints, language, language_model, mixing, ngram_join, pseudonyms, quality, secrets, token_files
 from helixframe.llm.shared import crc_mod, documents
 
 #: For the registered query only: a real run brings its own secret.
@@ -32,6 +32,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.Join(documents(spark, sf_dir)).documents()
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_model": op1_language_model,
         "op2_language": op2_language,
         "op3_secrets": op3_secrets,
+        "op4_quality": op4_quality,
         "op5_ngram_join": op5_ngram_join,
         "op6_fingerprints": op6_fingerprints,
         "op7_pseudonyms": op7_pseudonyms,
