@@ -34,6 +34,10 @@ from helixframe.llm.shared import per_text, stash
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Ids of up to so many texts (24 bytes each) are broadcast to pick rows of documents; more go by shuffle.
 BROADCAST_ROWS = 500_000
+#: Sets of up to so many bytes are broadcast to the pairs that they are tried in.
+BROADCAST_BYTES = 32 << 20
+#: Different orders by which bands choose leaders.
+LEADS = 3
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -116,20 +120,35 @@ def sets(docs: DataFrame, *, text: str, keep: list[str], n: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label of all nodes of links(a, b): the least node of its component, by alternating stars."""
-    edges = stash(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = None
-    while (now := mark(edges)) != before:
-        before = now
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.where("u != v").distinct(), "large")
-        least = stash(large.groupBy("u").agg(F.min("v").alias("m")), "stars")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("v", F.col("m")), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = stash(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u != v").distinct(), "edges")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+    """node, label of all nodes of links(a, b): the least node of its component.
+
+    Each round every node takes the least label among its neighbours', then its label's label; one table is
+    written a round.
+    """
+    both = links.where("a != b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
+    edges = stash(both.select("e.u", "e.v").distinct(), "edges")
+    labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+    while True:
+        around = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
+        nearer = labels.join(around, F.col("node") == F.col("u")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        jump = nearer.select(F.col("node").alias("to"), F.col("label").alias("next"))
+        labels = stash(nearer.join(jump, F.col("label") == F.col("to")).select("node", F.least("label", "next").alias("label"), "was"), "labels")
+        settled = labels.where("label != was").isEmpty()
+        labels = labels.select("node", "label")
+        if settled:
+            return labels
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: the components themselves are joined, as nodes of a smaller graph."""
+    ends = links
+    for c in "ab":
+        name = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+        ends = ends.join(name, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+    ends = stash(ends, "ends")
+    over = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("over"))
+    known = labels.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_label").alias("label")), F.struct(F.col("b").alias("node"), F.col("b_label").alias("label")))).alias("e")).select("e.node", "e.label")).distinct()
+    return known.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label"))
 
 
 def _pick(docs: DataFrame, few: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
@@ -152,55 +171,57 @@ class Join:
         self.rows = signed.select("id", "node")
         self.nodes = stash(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "nodes")
         bucket = F.xxhash64("band", "key").alias("bucket")
-        every = self.nodes.select("node", F.posexplode("bands").alias("band", "key")).select(bucket, "node")
-        shared = stash(every.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1"), "buckets")
-        self.members = stash(every.join(shared, "bucket"), "members")
+        every = self.nodes.select("node", F.posexplode("bands").alias("band", "key")).select(bucket, "node", F.xxhash64("node", F.col("band") % LEADS).alias("turn"))
+        shared = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("turn", "node")).alias("lead")).where("n > 1")
+        shared = stash(shared.select("bucket", "n", F.col("lead.node").alias("leader")), "buckets")
+        self.members = stash(every.select("bucket", "node").join(shared, "bucket"), "members")
         needed = self.members.select("node").distinct().join(self.nodes, "node").select("id", "node")
         texts = _pick(self.keyed, needed, ["id", "node"], "left_semi", broadcast_rows)
         self.sets = stash(sets(texts, text="text", keep=["node"], n=n).dropDuplicates(["node"]), "sets")
-        self.threshold, self.tried = threshold, None
+        self.threshold = threshold
         self.links = self._link()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) with their likeness: b's set goes to each pair, then pairs are dealt by a."""
+        """pairs(a, b) with their likeness: b's set goes to each pair (broadcast, if those fit), then pairs are dealt by a."""
+        pairs = stash(pairs, "pairs")
         a, b = (self.sets.select(F.col("node").alias(c), F.col("runs").alias(f"{c}_runs")) for c in "ab")
+        b = b.join(pairs.select("b").distinct(), "b", "left_semi")
+        if (b.agg(F.sum(F.size("b_runs"))).first()[0] or 0) * 8 <= BROADCAST_BYTES:
+            b = F.broadcast(b)
         both = pairs.join(b, "b").join(a, "a")
         met = F.size(F.array_intersect("a_runs", "b_runs"))
-        return both.select("a", "b", (met / (F.size("a_runs") + F.size("b_runs") - met)).alias("likeness"))
+        return stash(both.select("a", "b", (met / (F.size("a_runs") + F.size("b_runs") - met)).alias("likeness")), "tried")
 
     def _link(self) -> DataFrame:
         pairs = self.members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        self.tried = stash(self._verified(pairs), "tried")
-        links = self.tried.where(F.col("likeness") >= self.threshold)
-        first, lead = self.tried.select(F.col("a").alias("node"), F.col("b").alias("leader"), "likeness"), 8
-        open_ = None
+        tried = self._verified(pairs)
+        links = tried.where(F.col("likeness") >= self.threshold)
+        self.labels = components(links)
+        far = tried.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("likeness")).alias("far"))
+        open_ = self.members.join(far, ["node", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
+        lead = 8
         while True:
-            self.labels = stash(components(links), "labels")
-            known = (self.members if open_ is None else open_.select("bucket", "n", "leader", "node")).join(self.labels, "node", "left")
-            known = known.withColumn("label", F.coalesce("label", "node"))
-            if open_ is None:
-                known = known.join(first, ["node", "leader"], "left").withColumn("far", 1 - F.coalesce("likeness", F.lit(1.0))).drop("likeness")
-            else:
-                known = known.join(open_.select("bucket", "node", "far"), ["bucket", "node"])
-            known = stash(known, "known")
-            mixed = stash(known.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("bucket"), "mixed")
-            open_ = stash(known.join(mixed, "bucket"), "open")
-            if open_.isEmpty():
+            known = open_.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            mixed = known.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("bucket")
+            known = stash(known.join(mixed, "bucket"), "open")
+            if known.isEmpty():
                 return links
             chance = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            leads = open_.where(chance * F.col("n") < lead)
-            last = leads.count() == open_.count()
-            x, y = open_.alias("x"), leads.alias("y")
+            leads = chance * F.col("n") < lead
+            last = known.where(~leads).isEmpty()
+            x, y = known.alias("x"), known.where(leads).alias("y")
             near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - self.threshold + 1e-9
             pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & near)
             pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-            pairs = pairs.join(self.tried.select("a", "b").unionByName(self.tried.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-            more = stash(self._verified(pairs), "tried")
-            self.tried = self.tried.unionByName(more)
-            links = stash(links.unionByName(more.where(F.col("likeness") >= self.threshold)), "links")
+            before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+            more = self._verified(pairs.join(before, ["a", "b"], "left_anti"))
+            tried = tried.unionByName(more)
+            found = more.where(F.col("likeness") >= self.threshold)
+            links = links.unionByName(found)
+            self.labels = stash(joined_components(self.labels, found.select("a", "b")), "labels")
             if last:
-                self.labels = stash(components(links), "labels")
                 return links
+            open_ = known.drop("label")
             lead *= 8
 
     def classes(self) -> DataFrame:
