@@ -28,9 +28,7 @@ def reverse_complement(seq: Column) -> Column:
 
 def codons(seq: Column) -> Column:
     """Whole codons, left to right."""
-    n = F.floor(F.length(seq) / 3).cast("int")
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, (i - 1) * 3 + 1, 3))
-    return F.when(n > 0, each).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(seq, F.lit("(?s).{3}"), F.lit(0))
 
 
 def translate(seq: Column, no_check: bool = False) -> Column:

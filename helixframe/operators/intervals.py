@@ -87,7 +87,8 @@ def nearest_distance(points: DataFrame, intervals: DataFrame, *, chrom: str = "c
     order = [F.col("_p"), F.col("_kind")]
     both = running(mine.unionByName(theirs), "_c", "_p", F.col("_e"), "_reach", order=order)
     both = running(both, "_c", "_p", F.col("_n"), "_next", order=order, backward=True)
-    left, right = F.greatest(F.lit(0).cast("long"), F.col("_s") - F.col("_reach")), F.col("_next") - F.col("_p")
+    left = F.when(F.col("_reach").isNotNull(), F.greatest(F.lit(0).cast("long"), F.col("_s") - F.col("_reach")))
+    right = F.col("_next") - F.col("_p")
     return both.where("_kind = 1").select("_row.*", F.when(F.col("_c").isNotNull(), F.least(left, right)).alias(out))
 
 

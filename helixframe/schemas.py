@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed value: a chromosome's name begins so (a prefix match: `30` passes).
 CHROM = "^([0-9]{1,2}|MT|X|Y)"
 
-SEGMENT = T._parse_datatype_string("chrom string, start bigint, end bigint")
-VARIANT = T._parse_datatype_string("chrom string, pos bigint, rs string, ref string, alt string, vclass string")
-SEQUENCE = T._parse_datatype_string("uid string, seq string, seq_type string, info map<string,string>")
-GENE = T._parse_datatype_string("build string, chrom string, start bigint, end bigint, strand int, symbol string, desc string, biotype string, xrefs map<string,string>, exons array<struct<start:bigint,end:bigint>>")
-TRANSCRIPT = T._parse_datatype_string("build string, chrom string, start bigint, end bigint, enst string, appris_cat string, parent string, biotype string")
-PRINCIPAL = T._parse_datatype_string("symbol string, ensembl_gene string, ensembl_transcript string, ccds string, category string")
+SEGMENT = "chrom string, start bigint, end bigint"
+VARIANT = "chrom string, pos bigint, rs string, ref string, alt string, vclass string"
+SEQUENCE = "uid string, seq string, seq_type string, info map<string,string>"
+GENE = "build string, chrom string, start bigint, end bigint, strand int, symbol string, desc string, biotype string, xrefs map<string,string>, exons array<struct<start:bigint,end:bigint>>"
+TRANSCRIPT = "build string, chrom string, start bigint, end bigint, enst string, appris_cat string, parent string, biotype string"
+PRINCIPAL = "symbol string, ensembl_gene string, ensembl_transcript string, ccds string, category string"
 
 BUILDS = ("GRCh37", "GRCh38")
 MODES = ("PERMISSIVE", "FAILFAST", "DROPMALFORMED")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body's own lambdas use it again and again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_chrom(chrom: Column) -> Column:
     """Without one leading `chr`."""
     return F.regexp_replace(chrom, "^chr", "")

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from helixframe.schemas import PRINCIPAL, checked, normalize_chrom
+from helixframe.schemas import PRINCIPAL, checked, let, normalize_chrom
 
 _NAMED = "array<struct<_name:string,_value:string>>"
-SEQXML = T._parse_datatype_string(
+SEQXML = (
     f"_id string, species struct<_name:string,_ncbiTaxID:string>, description string, DNAseq string, RNAseq string, AAseq string, DBRef array<struct<_source:string,_id:string>>, property {_NAMED}"
 )
 CHUNK = 1 << 16
@@ -24,7 +23,7 @@ def seqxml(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFram
     fixed = F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("species", F.col("species._name")), ("species_ncbi_tax_id", F.col("species._ncbiTaxID")), ("description", F.col("description")), ("db_name", ref["_source"]), ("db_acc", ref["_id"]))))
     properties = F.transform(F.coalesce("property", F.array().cast(_NAMED)), lambda p: F.struct(p["_name"].alias("key"), F.coalesce(p["_value"], F.lit("1")).alias("value")))
     named = F.filter(F.concat(fixed, properties), lambda e: e["value"].isNotNull())
-    last = F.filter(named, lambda e, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda x: x["key"] == e["key"]))
+    last = let(named, lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["key"] == e["key"])))
     out = rows.select(F.col("_id").alias("uid"), F.upper(F.coalesce(*(c for c, _ in kinds))).alias("seq"), kind.alias("seq_type"), F.map_from_entries(last).alias("info"))
     return checked(out, F.when(F.col("seq").isNull(), "entry without a sequence"), mode)
 

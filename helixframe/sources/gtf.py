@@ -7,11 +7,11 @@ import re
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from helixframe.schemas import checked
+from helixframe.schemas import checked, let
 
-HEADER = T._parse_datatype_string("gff_version int, source_version map<string,string>, date date, date_text string, type map<string,string>, sequences map<string,struct<kind:string,seq:string>>, sequence_regions map<string,struct<start:bigint,end:bigint>>")
+HEADER = "gff_version int, source_version map<string,string>, date date, date_text string, type map<string,string>, sequences map<string,struct<kind:string,seq:string>>, sequence_regions map<string,struct<start:bigint,end:bigint>>"
+_FIELDS = ("gff_version", "source_version", "date", "date_text", "type", "sequences", "sequence_regions")
 _TAG = "^([A-Za-z][A-Za-z0-9_]*)[\\s=]"
 
 
@@ -24,8 +24,8 @@ def attributes(field: Column) -> Column:
     pieces = F.filter(F.split(F.trim(field), ";"), lambda p: p != "")
     pair = lambda p: F.struct(F.regexp_extract(p, _TAG, 1).alias("key"), F.replace(F.regexp_replace(F.regexp_replace(p, _TAG, ""), "^[= \t]+|[= \t]+$", ""), F.lit('"'), F.lit("")).alias("value"))
     pairs = F.transform(F.transform(pieces, lambda p: F.trim(p)), pair)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.when(F.length(F.trim(field)) > 0, F.map_from_entries(last))
+    last = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"]))
+    return F.when(F.length(F.trim(field)) > 0, F.map_from_entries(let(pairs, last)))
 
 
 def _bad_tag(field: Column) -> Column:
@@ -78,7 +78,7 @@ read_gff = read
 
 def header(lines: list[str]) -> dict:
     """The directives of a file's leading # lines."""
-    out: dict = {f.name: None for f in HEADER.fields}
+    out: dict = dict.fromkeys(_FIELDS)
     block: tuple[str, str, list[str]] | None = None
     for raw in lines:
         text = raw.strip()
