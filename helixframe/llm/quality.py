@@ -27,7 +27,7 @@ from helixframe.llm import kernels as K
 from helixframe.llm.shared import per_text, stash
 
 #: Labelled rows that the models are fitted on at most; words they look at for each target.
-SAMPLE_ROWS, PICKED = 20_000, 128
+SAMPLE_ROWS, PICKED = 10_000, 128
 #: Word hashes that are counted; weight of a document without a label in its site's rate.
 BUCKETS, SOFT = 1 << 18, 0.25
 #: Up to so many sites (a few numbers each) are broadcast; more are joined by shuffle.
@@ -173,8 +173,21 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     known = known.where("quality is not null or toxic is not null")
     labelled = rows.join(F.broadcast(known), "id") if known.count() <= BROADCAST_LABELS else stash(rows.join(known, "id"), "labelled")
     picked = _pick_words(labelled, targets, PICKED)
-    sample = labelled.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("text", *targets).toArrow()
-    x = np.concatenate([np.zeros((0, _STYLE + len(picked))), *(_matrix(c, picked) for c in sample.column("text").chunks)])
+    # of the labelled ids those of least hash; their texts stay on the executors, only features come to the driver
+    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id")
+    seen = labelled.join(F.broadcast(chosen), "id", "left_semi")
+
+    def extract():
+        def work(texts: pa.Array, _):
+            x = _matrix(texts, picked).astype(np.float32)
+            ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
+            return [pa.ListArray.from_arrays(ends, pa.array(x.ravel()))]
+
+        return work
+
+    sample = per_text(seen, extract, T.StructType([T.StructField("x", T.ArrayType(T.FloatType()))]), text="text", keep=targets).limit(sample_rows).toArrow()
+    flat = [np.asarray(c.flatten()) for c in sample.column("x").chunks]
+    x = np.concatenate([np.zeros(0), *flat]).reshape(-1, _STYLE + len(picked))
     weights = []
     for t in targets:
         y = np.array([np.nan if v is None else v for v in sample.column(t).to_pylist()])
@@ -200,8 +213,8 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     scored = stash(scored.join(known, "id", "left"), "scored")
     out = scored
     for t in targets:
-        seen = F.col(t).isNotNull()
-        soft = scored.select("host", "path", F.when(seen, 1.0).otherwise(SOFT).alias("w"), F.coalesce(t, f"{t}_text").alias(t))
+        has = F.col(t).isNotNull()
+        soft = scored.select("host", "path", F.when(has, 1.0).otherwise(SOFT).alias("w"), F.coalesce(t, f"{t}_text").alias(t))
         rates, prior = _shrunk(soft, [["host"], ["host", "path"]], t)
         if rates.count() <= BROADCAST_SITES:
             rates = F.broadcast(rates)
