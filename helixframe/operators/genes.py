@@ -72,8 +72,8 @@ def variants_in(regions: DataFrame, sites: DataFrame, chunks: DataFrame | None =
     # an insertion stands between two bases, its start one past its end
     held = sites.where(F.size("alleles") >= 2).withColumns({"_lo": F.least("start", "end"), "_hi": F.greatest("start", "end")})
     met = overlap_join(asked, held, left_on=("_rc", "_rs", "_re"), right_on=("chrom", "_lo", "_hi"))
-    alts = F.explode(F.slice("alleles", 2, F.size("alleles")))
-    rows = met.select("region_id", "chrom", F.col("start").alias("pos"), clean_rs(F.col("id")).alias("rs"), F.upper(F.get("alleles", F.lit(0))).alias("ref"), F.upper(alts).alias("alt"), allele_class(F.col("alleles")).alias("vclass")).distinct()
+    alts = F.explode(F.transform(F.slice("alleles", 2, F.size("alleles")), F.upper))
+    rows = met.select("region_id", "chrom", F.col("start").alias("pos"), clean_rs(F.col("id")).alias("rs"), F.upper(F.get("alleles", F.lit(0))).alias("ref"), alts.alias("alt"), allele_class(F.col("alleles")).alias("vclass")).distinct()
     if chunks is None:
         return rows
     indels = check_indels(rows.where("vclass = 'INDEL'"), chunks, fix=True).drop("status")
