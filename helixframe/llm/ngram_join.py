@@ -5,12 +5,12 @@ Texts whose sets have Jaccard similarity THRESHOLD or more are linked.  `banding
 for RECALL at the threshold; rows are shuffled by band hash and every pair that is tried is verified on
 the full sets (of 64-bit run hashes).
 
-A bucket of texts that share a band hash is settled once all its texts are in one component.  In the
-first round every text is tried against its bucket's leader, so a bucket of near copies settles with as many
-pairs as texts.  In unsettled buckets more and more members lead, until all do; pairs already in one
-component are left out, and so are pairs whose distances to the first leader differ by more than
-1 - THRESHOLD (Jaccard distance is a metric, so these cannot be linked).  So no partner
-is capped, and components are those of all links among candidates.
+A bucket of texts that share a band hash is settled once all its texts are in one component.  First
+every text is tried against its bucket's leader, so a bucket of near copies settles with as many pairs as
+texts.  Where that leaves a bucket in parts, the texts outside its largest part are asked, in blocks of a
+fixed size, against all texts of such buckets: each task looks its texts' runs up in the block's index, sees the
+exact similarity to all of the block, and gives out what joins parts.  So no partner is capped, and the
+components are those of all links among candidates.
 
 Defined results: copies of one text form one class whatever they hold; null and empty texts are in
 classes of their own; a class's id is its least doc_id; a null doc_id is never a class id if
@@ -151,6 +151,72 @@ def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label"))
 
 
+def _blocks(asked: DataFrame, most: int | None = None):
+    """asked(node, label, runs) in blocks of at most `most` bytes of runs (or one text), as Arrow tables."""
+    most = BROADCAST_BYTES if most is None else most
+    size = F.sum(F.size("runs")) * 8
+    total = asked.agg(size).first()[0] or 0
+    n = max(1, -(-total * 2 // most)) if total > most else 1
+    while True:
+        block = F.pmod(F.xxhash64("node"), F.lit(n))
+        sizes = asked.groupBy(block.alias("block")).agg(size.alias("b"), F.count("*").alias("n")).collect()
+        if all(r.b <= most or r.n == 1 for r in sizes):
+            break
+        n *= 2
+    for r in sorted(sizes):
+        yield asked.where(block == r.block).select("node", "label", "runs").toArrow()
+
+
+def _against(every: DataFrame, block: pa.Table, threshold: float) -> DataFrame:
+    """a (of every), b (of the block), likeness: of all links between texts of different labels, such as still join labels in the task.
+
+    The block is indexed by run: one lookup of a text's runs gives what it shares with every text of the block,
+    so no pair becomes a row.
+    """
+    runs = block.column("runs").combine_chunks()
+    ends = np.asarray(runs.offsets)
+    flat = np.asarray(runs.flatten())
+    size = np.diff(ends)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(flat, kind="stable")
+    shared = every.sparkSession.sparkContext.broadcast((flat[order], owner[order], size, block.column("node").to_pylist(), block.column("label").to_pylist()))
+
+    def work(batches):
+        keys, owners, sizes, nodes, labels = shared.value
+        place: dict[bytes, int] = {}
+        own = np.array([place.setdefault(x, len(place)) for x in labels])
+        root = np.arange(len(place))
+        for batch in batches:
+            out = []
+            for node_, label, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                mine = np.asarray(mine.values)
+                lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                n = hi - lo
+                if not n.any():
+                    continue
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                met = np.bincount(owners[at], minlength=len(sizes))
+                near = met / (len(mine) + sizes - met)
+                hits = np.flatnonzero(near >= threshold)
+                if not len(hits):
+                    continue
+                k = place.get(label)
+                if k is None:
+                    k = place[label] = len(place)
+                    root = np.append(root, k)
+                while True:  # one hit for each component that is not the text's own yet
+                    hits = hits[root[own[hits]] != root[k]]
+                    if not len(hits):
+                        break
+                    h = int(hits[0])
+                    out.append((node_, nodes[h], float(near[h])))
+                    root[root == root[own[h]]] = root[k]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.float64())], ["a", "b", "likeness"])
+
+    return every.select("node", "label", "runs").mapInArrow(work, "a binary, b binary, likeness double")
+
+
 def _pick(docs: DataFrame, few: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
     """docs semi- or anti-joined to few on null-safe keys."""
     if few.count() <= most:
@@ -197,32 +263,21 @@ class Join:
         tried = self._verified(pairs)
         links = tried.where(F.col("likeness") >= self.threshold)
         self.labels = components(links)
-        far = tried.select(F.col("a").alias("node"), F.col("b").alias("leader"), (1 - F.col("likeness")).alias("far"))
-        open_ = self.members.join(far, ["node", "leader"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-        lead = 8
-        while True:
-            known = open_.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = known.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l != h").select("bucket")
-            known = stash(known.join(mixed, "bucket"), "open")
-            if known.isEmpty():
-                return links
-            chance = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            leads = chance * F.col("n") < lead
-            last = known.where(~leads).isEmpty()
-            x, y = known.alias("x"), known.where(leads).alias("y")
-            near = F.abs(F.col("x.far") - F.col("y.far")) <= 1 - self.threshold + 1e-9
-            pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") != F.col("y.label")) & near)
-            pairs = pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-            before = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            more = self._verified(pairs.join(before, ["a", "b"], "left_anti"))
-            tried = tried.unionByName(more)
-            found = more.where(F.col("likeness") >= self.threshold)
-            links = links.unionByName(found)
-            self.labels = stash(joined_components(self.labels, found.select("a", "b")), "labels")
-            if last:
-                return links
-            open_ = known.drop("label")
-            lead *= 8
+        known = self.members.select("bucket", "node").join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+        main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main.label")
+        open_ = stash(known.join(main.withColumnRenamed("label", "main"), "bucket"), "open")
+        rest = stash(open_.where("label != main").select("node", "label").distinct(), "rest")
+        if rest.isEmpty():
+            return links
+        asked = stash(self.sets.join(rest, "node"), "asked")
+        every = stash(self.sets.join(open_.select("node", "label").distinct(), "node"), "every")
+        found = None
+        for block in _blocks(asked):
+            more = stash(_against(every, block, self.threshold), "found")
+            found = more if found is None else found.unionByName(more)
+        self.labels = stash(joined_components(self.labels, found.select("a", "b")), "labels")
+        return links.unionByName(found)
 
     def classes(self) -> DataFrame:
         """node, class_id, copies, degree of every distinct non-empty text."""
