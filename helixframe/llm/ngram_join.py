@@ -280,13 +280,13 @@ class Join:
         return links.unionByName(found)
 
     def classes(self) -> DataFrame:
-        """node, class_id, copies, degree of every distinct non-empty text."""
+        """node, label (the class's least node), id (least of the text's copies), copies, class_id, degree of every distinct non-empty text."""
         ends = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
         labelled = stash(self.labels.join(self.nodes.select("node", "id", "copies"), "node").join(ends, "node"), "labelled")
         least = stash(labelled.groupBy("label").agg(F.min("id").alias("class_id")), "classes")
-        joined = labelled.join(least, "label").select("node", "class_id", "degree")
+        joined = labelled.join(least, "label").select("node", "label", "class_id", "degree")
         alone = self.nodes.select("node", "id", "copies").join(joined, "node", "left")
-        return stash(alone.select("node", "id", "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree")), "node-classes")
+        return stash(alone.select("node", F.coalesce("label", "node").alias("label"), "id", "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree")), "node-classes")
 
     def documents(self) -> DataFrame:
         """doc_id, class_id, n_links of every row.
@@ -310,10 +310,10 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = Join(docs, doc_id=doc_id, text=text, **options)
     classes = found.classes()
     rows = found.rows.where("node is not null").groupBy("id", "node").agg(F.count("*").alias("times"))
-    # a class's least id may stand on several texts: the least text stays
-    heads = classes.where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("head"))
-    ranked = rows.join(classes.select("node", "class_id"), "node").alias("r").join(heads.alias("h"), F.col("r.class_id").eqNullSafe(F.col("h.class_id")))
-    stays = F.col("r.id").eqNullSafe(F.col("r.class_id")) & (F.col("node") == F.col("head"))
+    # a class's least id may stand on several texts, or be null: the text that comes first stays
+    heads = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("head"))
+    ranked = rows.join(classes.select("node", "label", F.col("id").alias("least")), "node").join(heads, "label")
+    stays = F.col("id").eqNullSafe(F.col("least")) & (F.col("node") == F.col("head.node"))
     marked = stash(ranked.select("id", "node", stays.alias("stays"), "times"), "marked")
     key, body = "_id", "_node"
     keyed = docs.withColumns({key: F.col(f"`{doc_id}`"), body: node(F.col(f"`{text}`"))})

@@ -81,6 +81,8 @@ def test_ngram_join(spark, broadcast_rows):
     again = table(spark, texts).unionByName(extra)
     kept = ngram_join.one_of_each(again, broadcast_rows=broadcast_rows)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
+    nameless = spark.createDataFrame([(None, t, None, None, None) for t in ("p q r s t", "u v w x y", "u v w x y")], DOC)
+    assert sorted(r.text for r in ngram_join.one_of_each(nameless).collect()) == ["p q r s t", "u v w x y"]
     assert ngram_join.Join(table(spark, texts).limit(0)).documents().count() == 0
 
 
