@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import ctypes.util
 import tempfile
 import uuid
 
@@ -76,6 +78,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def trim() -> None:
+    """Give back what a worker process holds but does not use: it serves other tasks and operators next."""
+    pa.default_memory_pool().release_unused()
+    if libc := ctypes.util.find_library("c"):
+        getattr(ctypes.CDLL(libc), "malloc_trim", lambda _: 0)(0)
+
+
+#: Rows of one Arrow batch of texts, where the session leaves Spark's 10,000: texts are long.
+BATCH_ROWS = 1000
+
+
 def per_text(docs: DataFrame, make, fields: T.StructType, *, text: str = "text", keep: list[str] | None = None, also: list[str] = ()) -> DataFrame:
     """Rows of docs with the columns `keep` and those that `make` computes from each step of texts.
 
@@ -96,6 +109,10 @@ def per_text(docs: DataFrame, make, fields: T.StructType, *, text: str = "text",
     arrow = to_arrow_schema(schema)
     n, m = len(keep), len(also)
 
+    spark, batch_rows = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch_rows) == "10000":
+        spark.conf.set(batch_rows, str(BATCH_ROWS))
+
     def run(batches):
         work = make()
         for batch in batches:
@@ -106,6 +123,7 @@ def per_text(docs: DataFrame, make, fields: T.StructType, *, text: str = "text",
                 cols = [part.column(i).cast(arrow.field(i).type) for i in range(n)]
                 cols += [a.cast(arrow.field(n + i).type) for i, a in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
+        trim()
 
     picked = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*keep, *also, text])]
     return docs.select(*picked).mapInArrow(run, schema)
