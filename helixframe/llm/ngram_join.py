@@ -12,13 +12,18 @@ fixed size, against all texts of such buckets: each task looks its texts' runs u
 exact similarity to all of the block, and gives out what joins parts.  So no partner is capped, and the
 components are those of all links among candidates.
 
+Links are counted once components are known, as every link lies within one.  Components of a few texts are
+packed into tasks by label; each of the others is a block, or several, that all its texts are looked up in.
+
 Defined results: copies of one text form one class whatever they hold; null and empty texts are in
 classes of their own; a class's id is its least doc_id; a null doc_id is never a class id if
-any member has another; repeated rows are copies.
+any member has another; repeated rows are copies; a row is linked to its copies, and to all rows of its class
+whose texts have similarity THRESHOLD or more with its own.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -36,6 +41,8 @@ N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 BROADCAST_ROWS = 500_000
 #: Sets of up to so many bytes are broadcast to the pairs that they are tried in.
 BROADCAST_BYTES = 32 << 20
+#: A component whose sets have up to so many bytes is counted within one task, with others up to about PACK_BYTES.
+CLASS_BYTES, PACK_BYTES = 256 << 10, 4 << 20
 #: Different orders by which bands choose leaders.
 LEADS = 3
 
@@ -164,7 +171,66 @@ def _blocks(asked: DataFrame, most: int | None = None):
             break
         n *= 2
     for r in sorted(sizes):
-        yield asked.where(block == r.block).select("node", "label", "runs").toArrow()
+        yield asked.where(block == r.block).toArrow()
+
+
+def _index(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of the texts in order, the text that each is of, and each text's number of runs."""
+    runs = texts.column("runs").combine_chunks()
+    flat = np.asarray(runs.flatten())
+    size = np.asarray(runs.value_lengths())
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.argsort(flat, kind="stable")
+    return flat[order], owner[order], size
+
+
+def _near(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """The similarity of a text with the runs `mine` to each text of an index."""
+    lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+    n = hi - lo
+    at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    met = np.bincount(owners[at], minlength=len(sizes))
+    return met / (len(mine) + sizes - met)
+
+
+_LINKED = "node binary, linked long"
+
+
+def _linked(threshold: float, index: tuple, copies: np.ndarray, labels: np.ndarray, place: dict[bytes, int], texts) -> pa.RecordBatch:
+    """node and linked of texts (node, label, copies, runs): rows of the index whose texts have its label and are similar, itself among them if it is there."""
+    nodes, out = texts.column("node").to_pylist(), []
+    for label, mine in zip(texts.column("label").to_pylist(), texts.column("runs"), strict=True):
+        hits = (_near(*index, np.asarray(mine.values)) >= threshold) & (labels == place.get(label, -1))
+        out.append(int(copies[hits].sum()))
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.int64())], ["node", "linked"])
+
+
+def _numbered(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
+    """Of the texts the copies, the labels as numbers, and the number of each label."""
+    place: dict[bytes, int] = {}
+    labels = np.array([place.setdefault(x, len(place)) for x in texts.column("label").to_pylist()], np.int64)
+    return texts.column("copies").to_numpy(), labels, place
+
+
+def _count_packed(texts: DataFrame, pack: Column, threshold: float) -> DataFrame:
+    """node, linked of texts whose whole components have one value of pack."""
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        return pa.Table.from_batches([_linked(threshold, _index(table), *_numbered(table), table)])
+
+    return texts.withColumn("pack", pack).groupBy("pack").applyInArrow(lambda t: work(t), _LINKED)
+
+
+def _count_against(every: DataFrame, block: pa.Table, threshold: float) -> DataFrame:
+    """node, linked of every text, counting the texts of the block."""
+    shared = every.sparkSession.sparkContext.broadcast((_index(block), *_numbered(block)))
+
+    def work(batches):
+        for batch in batches:
+            yield _linked(threshold, *shared.value, batch)
+
+    return every.select("node", "label", "copies", "runs").mapInArrow(work, _LINKED)
 
 
 def _against(every: DataFrame, block: pa.Table, threshold: float) -> DataFrame:
@@ -173,13 +239,7 @@ def _against(every: DataFrame, block: pa.Table, threshold: float) -> DataFrame:
     The block is indexed by run: one lookup of a text's runs gives what it shares with every text of the block,
     so no pair becomes a row.
     """
-    runs = block.column("runs").combine_chunks()
-    ends = np.asarray(runs.offsets)
-    flat = np.asarray(runs.flatten())
-    size = np.diff(ends)
-    owner = np.repeat(np.arange(len(size)), size)
-    order = np.argsort(flat, kind="stable")
-    shared = every.sparkSession.sparkContext.broadcast((flat[order], owner[order], size, block.column("node").to_pylist(), block.column("label").to_pylist()))
+    shared = every.sparkSession.sparkContext.broadcast((*_index(block), block.column("node").to_pylist(), block.column("label").to_pylist()))
 
     def work(batches):
         keys, owners, sizes, nodes, labels = shared.value
@@ -189,14 +249,7 @@ def _against(every: DataFrame, block: pa.Table, threshold: float) -> DataFrame:
         for batch in batches:
             out = []
             for node_, label, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                mine = np.asarray(mine.values)
-                lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                n = hi - lo
-                if not n.any():
-                    continue
-                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                met = np.bincount(owners[at], minlength=len(sizes))
-                near = met / (len(mine) + sizes - met)
+                near = _near(keys, owners, sizes, np.asarray(mine.values))
                 hits = np.flatnonzero(near >= threshold)
                 if not len(hits):
                     continue
@@ -270,7 +323,7 @@ class Join:
         rest = stash(open_.where("label != main").select("node", "label").distinct(), "rest")
         if rest.isEmpty():
             return links
-        asked = stash(self.sets.join(rest, "node"), "asked")
+        asked = stash(self.sets.join(rest, "node").select("node", "label", "runs"), "asked")
         every = stash(self.sets.join(open_.select("node", "label").distinct(), "node"), "every")
         found = None
         for block in _blocks(asked):
@@ -280,24 +333,46 @@ class Join:
         return links.unionByName(found)
 
     def classes(self) -> DataFrame:
-        """node, label (the class's least node), id (least of the text's copies), copies, class_id, degree of every distinct non-empty text."""
-        ends = self.links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-        labelled = stash(self.labels.join(self.nodes.select("node", "id", "copies"), "node").join(ends, "node"), "labelled")
+        """node, label (the class's least node), id (least of the text's copies), copies, class_id of every distinct non-empty text."""
+        labelled = stash(self.labels.join(self.nodes.select("node", "id", "copies"), "node"), "labelled")
         least = stash(labelled.groupBy("label").agg(F.min("id").alias("class_id")), "classes")
-        joined = labelled.join(least, "label").select("node", "label", "class_id", "degree")
+        joined = labelled.join(least, "label").select("node", "label", "class_id")
         alone = self.nodes.select("node", "id", "copies").join(joined, "node", "left")
-        return stash(alone.select("node", F.coalesce("label", "node").alias("label"), "id", "copies", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("degree", F.lit(0)).cast("long").alias("degree")), "node-classes")
+        return stash(alone.select("node", F.coalesce("label", "node").alias("label"), "id", "copies", F.coalesce("class_id", "id").alias("class_id")), "node-classes")
+
+    def linked(self) -> DataFrame:
+        """node, linked: the rows (its own among them) whose texts are similar, of every text of a component."""
+        texts = self.labels.join(self.nodes.select("node", "copies"), "node").join(self.sets, "node")
+        texts = stash(texts.select("node", "label", "copies", "runs"), "class-sets")
+        bytes_ = F.sum(F.size("runs")) * 8
+        sizes = stash(texts.groupBy("label").agg(bytes_.alias("b")), "class-sizes")
+        large = sizes.where(F.col("b") > CLASS_BYTES)
+        small = sizes.where(F.col("b") <= CLASS_BYTES).agg(F.sum("b")).first()[0] or 0
+        packs = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-small // PACK_BYTES))))
+        counts = _count_packed(texts.join(large, "label", "left_anti"), packs, self.threshold)
+        found = [stash(counts, "linked")]
+        group, held = [], 0
+        groups: list[list[bytes]] = []
+        for r in large.orderBy("label").collect():  # at most one row a CLASS_BYTES of sets
+            if group and held + r.b > BROADCAST_BYTES:
+                groups.append(group)
+                group, held = [], 0
+            group.append(bytes(r.label))
+            held += r.b
+        for group in [*groups, group] if group else groups:
+            some = texts.where(F.col("label").isin(group))
+            found += [stash(_count_against(some, block, self.threshold), "linked") for block in _blocks(some)]
+        return functools.reduce(DataFrame.unionByName, found).groupBy("node").agg(F.sum("linked").alias("linked"))
 
     def documents(self) -> DataFrame:
         """doc_id, class_id, n_links of every row.
 
-        n_links counts the verified links of the row's text (those which hold its class together)
-        and, for copies, the one link to the copy of least id (for that one, one from each other copy).
+        n_links counts all other rows that the row is linked to: copies of its text, and rows of its class
+        whose texts have the similarity.
         """
-        first = F.col("r.id").eqNullSafe(F.col("c.id"))
-        links = F.col("degree") + F.when(F.col("copies") > 1, F.when(first, F.col("copies") - 1).otherwise(1)).otherwise(0)
-        out = self.rows.alias("r").join(self.classes().alias("c"), "node", "left")
-        return out.select(F.col("r.id").alias("doc_id"), F.coalesce("class_id", "r.id").alias("class_id"), F.coalesce(links, F.lit(0)).cast("long").alias("n_links"))
+        known = self.classes().join(self.linked(), "node", "left").select("node", "class_id", (F.coalesce("linked", "copies") - 1).alias("n_links"))
+        out = self.rows.alias("r").join(known.alias("c"), "node", "left")
+        return out.select(F.col("r.id").alias("doc_id"), F.coalesce("class_id", "r.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def node(text: Column) -> Column:

@@ -86,6 +86,21 @@ def test_ngram_join(spark, broadcast_rows):
     assert ngram_join.Join(table(spark, texts).limit(0)).documents().count() == 0
 
 
+@pytest.mark.parametrize("class_bytes, block_bytes", [(ngram_join.CLASS_BYTES, ngram_join.BROADCAST_BYTES), (3000, 20_000), (0, 2000)])
+def test_ngram_join_counts_all_links(spark, monkeypatch, class_bytes, block_bytes):
+    monkeypatch.setattr(ngram_join, "CLASS_BYTES", class_bytes)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", block_bytes)
+    monkeypatch.setattr(ngram_join, "PACK_BYTES", 4000)
+    texts = corpus(1)
+    sets = [runs(t) for t in texts]
+    linked = lambda i, j: texts[i] and texts[j] and (texts[i] == texts[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
+    want = [sum(bool(linked(i, j)) for j in range(len(texts)) if j != i) for i in range(len(texts))]
+    assert max(want) > 4
+    for parts in (1, 7):
+        got = ngram_join.Join(table(spark, texts).repartition(parts)).documents().orderBy("doc_id").collect()
+        assert [r.n_links for r in got] == want
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.node: r.label for r in ngram_join.components(chain).collect()}
