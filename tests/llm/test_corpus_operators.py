@@ -1,5 +1,6 @@
 """Operators that look at all rows, against brute force."""
 
+import base64
 import collections
 import hashlib
 import math
@@ -207,6 +208,25 @@ def test_mixing(spark):
     assert mixing.mix(rows.limit(0)).count() == 0
 
 
+def test_language_stage_rejects_foreign_text_and_junk(spark):
+    rng = np.random.default_rng(4)
+    known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
+    foreign = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Python",
+    ]
+    junk = [" ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 7)) for _ in range(n)) for n in (12, 40, 200)]
+    junk += [base64.b64encode(rng.bytes(n)).decode() for n in (150, 600, 3000)]
+    clean = [" ".join(r.text.split()[:n]) for n in (4, 8, 30) for r in known.where("lang is not null and length(text) > 400").orderBy("doc_id").limit(40).collect()]
+    more = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(foreign + junk + clean)], known.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, known.unionByName(more), "").select("doc_id").collect()}
+    out = len(foreign + junk)
+    assert not kept & {-1 - i for i in range(out)}
+    assert kept >= {-1 - i for i in range(out, out + len(clean))}
+    assert kept >= {r.doc_id for r in known.where("text rlike '[a-z]'").collect()}
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage does its work on all that the one before kept."""
     rng = np.random.default_rng(8)
