@@ -1,0 +1,162 @@
+"""Words of English prose: such as are said of passwords, then those of docstrings in Python's and Spark's libraries, by how many files have them."""
+
+# Fixed values.
+PROSE = """required incorrect expired invalid missing wrong needed stored protected encrypted hashed changed compromised leaked strong weak forgotten mandatory optional
+unknown correct accepted rejected blank unchanged stolen something anything everything nothing someone anyone important honesty patience practice simple
+simplicity always never forever with that from this class will used which object when given function return only list data name should type into using method
+values have number returns like same each first must details code instance then present also other where specified file does more input module returned tuple
+import bool result than call passed objects called single names argument case based output arguments either instead functions such before after error whether
+otherwise containing provided current types there dict some order version without copyright contains license format https information parameter pygments methods
+team both path support they between source time empty python defined index multiple versionadded strings need line them available create implementation
+following dictionary array over uses different most last exception created valid text level sequence integer column length been found supported their would
+corresponding parameters specific size these already files attribute raise directly generated float param because being possible self func match raised standard
+through contain original point including classes check elements spark columns cannot another element representation pandas keyword useful read numpy just within
+keys attributes base means converted start equivalent copy options mapping want bytes calls make deprecated dtype include about message added since form style
+well representing back during boolean calling provides change except second equal even existing those operation model instances while tuples part behavior
+directory callable binary left currently operations examples could necessary context every mode defaults full takes underlying expected allows memory errors
+main convert items block resulting package interface fields allowed results process variable named provide running zero raises item specify handle characters
+field subclass ignored compatibility exists maximum common right position supports lines automatically note write cases once encoding unique matching least what
+below were allow above variables option whose exist appropriate else pyspark find reference range state unless additional times buffer applied similar iterable
+doctest library meth take until related kwargs against special less itself documentation many generate rows scalar numbers place represents next constructor
+done lists sets included extra avoid still configuration custom works written protocol warning arrays metadata relative associated docs shape setting usage
+matches args language table treated character location returning rather node considered integers inputs entry under might actual compatible explicitly creating
+long versionchanged ndarray side inside target iterator made apply built prefix indicating schema group includes according passing around pair sorted encoded
+label contents particular filename needs http users pairs versions known ensure content nested info count command depending parent environment indices replace
+determine wrapper expression formatted header exactly large requires github three datetime algorithm specifying lambda numeric parsed fixed replaced entries
+remove entire points property very recent global extension implemented exceptions conversion override along represent regular perform define open negative
+performance initial logic across previous stream together parsing handling execution supplied query safe modules contained future arbitrary pattern width
+dataset axis reading offset checks display attempt absolute byte total parse update processing various request determined changes syntax installed attr split
+lower properties minimum cache random search implement wrapped build indicates collection dtypes control messages final creates keep cause seconds complex
+closed specifies possibly manager positive certain actually produce precision addition fails taken later date follows compute ordered requested greater multi
+limit normal config assumed features subclasses shared sort testing desired ones separate connection mean series flag store writing inferred makes effect tests
+starts checking bound starting alias generator accepts window space depends complete intended appear optionally basic having batch real issues tree normalized
+described structure words feature fail outside loaded small separated view distribution computed enabled ignore close wrap labels require executed functionality
+simply internally caller represented streaming submit beginning look kind best sequences gives show positional usually print validate console skip making modify
+condition parts difference construct event typically frame specification nodes dimensional step suitable session response subset implements further filter
+checked paths produced save operator recommended refer handled decorator thread builtin whole definition description signature adds fully ints requests section
+machine expressions handles external general longer leading references literal explicit load appended high comparison applies headers namespace yield sure
+keywords parser socket formats registered respectively timestamp larger indicate selected helper application graph pyarrow working stop unicode modified levels
+defines document better partitions dimension immediately exact double floating cached models trailing printed performed accept records blocks constant weight
+record invoked gets generic adding whitespace several consider core bounds cast down groups runtime identifier interval color backward runs individual
+guaranteed higher spaces assigned relevant therefore converting platform meaning hash smaller correctly help potentially languages unit lexer packages append
+imported derived active sent though previously decimal updated aliases handler extract applying native wise copied give again floats matrix components category
+generally wraps select assume rules slice latest counts stack outputs responsible processed docstring much received failed partition project short thus
+frequency looks product ordering validation vector indexes port omitted followed maps ends however host mapped converts send connect serialized storage params
+accessed directories execute recursively settings mask remaining faster compared filled know forward dataframe json readable upper body positions dropped
+iteration component occur program separator shown combination timeout wiki infer axes gencodec backwards descriptor creation switch tokens linear timezone
+replacement probably calculated selection weights fill distinct regex updates dimensions status aware enough holds stable identical child preserved saved occurs
+skipped amount evaluated reads engine corresponds purposes behaviour doing preferred tags disabled enable configured disk statement calculate terms interpreted
+union loop opened initialized semantics taking able compare issue operators round encode evaluate often speed hold expect categorical listed exclude
+successfully receive upon summary address convenience dicts struct requirements scheme title alternative register overridden dependent extensions formatting
+designed highest happens assumes inner transform mixed link hook dictionaries writes follow callback requirement rank become numerical repeated implementing
+static merged transformed evaluation experimental drop extended neither plain allowing prevent join assert vary chosen disable matched average variance typing
+container raising math codes duplicate terminal conditions consistent indexing limited computing combined increasing pytest backed started statistics overrides
+failure controls approach spec computation reason resolution generating comma warnings release replaces height inference deleted reset third free printing
+compiled abstract mark decode recursive obtained regardless escape smallest collections largest performs prior storing newline exit problem bits going legacy
+generates likely good encountered four rest kept constants others providing wrapping html direct occurrence zeros constructed purpose resolve rule merge term
+efficient move copies plus flags giving proper script inverse report treat decoded qualified marked grouped install expensive preserve categories becomes pickle
+children yields comments detect member placed strategy probability subsequent inserted meant nullable correspond repr describe events action year depth lookup
+refers sources major distributed logical defining excluded wait ascending descending insensitive resource suffix threads tempfile truncated normally network
+independent embedded expects newly please determines duplicates consists pretty excluding period dependencies tasks locations background scope indexed depend
+reverse replacing dynamic especially decoding hostname domain changing forms processes describing optimized initialize properly formatter loading scalars digits
+produces approximate force zone whenever members minimal chunks square lowest calculation places proxy resources building thrown tensor keeps fast debugging
+days dates displayed looking strict sorting tools typed human collected unlike power instantiated earlier removing past differences throw algorithms render
+hypothesis batches verify pool combine remote ways unsupported duration applicable leave mechanism factory direction hashable construction padding equality
+things separately enum generation vectors logging threshold strictly tries patterns trying shows referenced setup reserved broadcast sizes satisfy undefined
+reader scale definitions easy manually dependency share metrics factor systems operate fallback delete prints extracted importing shell attempts ensures epoch
+really inclusive aligned filters decorated libraries older outer immutable transformation falls worker device initialization respective routine queries nearest
+quoted writer inherit consecutive escaped seed edge come precedence filtered fall reduce clear retrieve serialization assign programming coordinates removes
+fewer driver comes automatic compression occurred expanded seen delimited deviation equals distributions arithmetic joined guarantee annotations retrieved
+resolved auto contiguous deal collect performing boundary overwrite cols aggregate highlight highlighting variant iterate behaves stdout naive ignoring accuracy
+constraints among wheel colors comment serialize boundaries prediction groupby finished ready differs choose suite exclusive usual visible keeping utility
+computes regression middle flattened differ bottom annotation whereas holding parallel plugin partitioning fitted demonstrating ndarrays cross latter month
+accessible connections samples indicated modes recognized incompatible offsets draw origin intersection deep lengths identify letter mostly center saving
+capture throws datasets observed structured freq pipeline interactive opening inplace moved silently destination happen invoke terminated slow newlines
+traceback wide belongs hand chunk determining timedelta passes necessarily reduced char signed marker completed priority track showing turns timestamps
+recommend periods widget filenames reasons registry modification filesystem archive frames tables comparing indent detailed pure evaluates attached reported
+streams appropriately steps themselves occurrences software normalize expressed unsigned fetch stores commands omit post filtering page usable executing chain
+goes addresses sending pickled quotes meta appears documents filling sparse alpha lowercase distance obtain lazy milliseconds assignment weighted partitioned
+plan aggregation windows squared iterations indexer propagate platforms site trace breaks booleans begin safely inherited grouping problems authentication
+predicate yielding ranges detected family backend overlapping overflow quantile scripts behave statements layout sends applications dataclass identity
+unexpected sensitive supposed finds improve configure observations styles pydantic presence continue connected links affect progress optimization idea beyond
+rendered ending stderr enables microseconds buffers consumed decide concrete quite virtual verbose routines validated identifiers initializer combining
+accessing analysis handlers training symmetric rtype hint interpreter completely reached slightly subject releases indentation manner wish failing allocated
+convenient prompt policy assuming interpret task utilities interpolation controlled units median sign shift explanation shallow align identified hooks hints
+notes duplicated scipy validator portion effective break stripped segment continuous implicit sampling rate getting half lead introduced quote registration
+chars onto inspect yielded discrete estimate choice coefficient extend helps expand symbol mainly emitted subtype overriding structures guide instantiate markup
+fact combinations products serializable locally observation lost onnx theme renderable installation searching supporting ambiguous turn email respect finding
+markers intermediate dynamically unused minor matter area broken overhead avoids choices remain partially subprocess increase potential font caching overlap
+blob provider bins easier bias dense skipna dropna conditional canonical writable attempting thing twice mappings tzinfo blocking appending reused views
+delimiter finite breaking infinite meaningful located splits init hence preserves span reports flexible insertion degrees arrow moving plugins convertible
+retain cluster parquet cells hierarchical calculations leaves export consistency psdf compat reshape describes builtins executable overwritten care successful
+accessor charset invocation sense encoder proto turned causes primarily encodes attrs catalog valued correlation detail percentile percent calculating prefixed
+nonzero guarantees digit closest natural formed template retained partial states limits recursion casting datatype converter effects differently receives
+developer renamed trigger sliced reduction pypi grid lexers remains signal figure specialized counted candidate tested maintain compile concatenated inserting
+identifying callbacks mutable namedtuple instantiation datetimes layer loss bind queue frequencies schemes documented segments leaving tolerance multiplication
+conform failures rights effort manage guess parents image shorter workers basis primitive checkpoint hours solution estimator transforming labeled likes editor
+strategies towards symbolic unpacked similarly unspecified specifier strip consisting physical descriptors consume design friendly soon truncate affected almost
+acts flat implicitly deprecation constructs stdlib shrink transforms instantiating reporting drawn elsewhere particularly vertical leads executor constraint
+deterministic stopped independently edges trained coefficients fitting rolling torch subgraph tensors party completion copying locals convention locale commonly
+alternate easily issued unset symbols intervals scaling comparisons wants remainder infinity hide restore white actions shall channel nice accordingly iterables
+splitting sides integration singleton learning declared advanced logger minutes preserving shuffle optimizer predictions expanding perhaps minus globals cell
+indicator encodings normalization pointing captured rendering head suppress counting separators buffered decoder selects little clean codec spaced sized consist
+prepended alignment integral attempted caches imports distribute certificate framework dump increases rich ascii debug modifying entirely inspired score cost
+button functional underscore referred prefer slices sentinel transposed illegal protobuf region parses careful matplotlib compliant quantization validators
+invoking compressed stops tool exceeds compiler efficiency forces discarded pointer notation dotted sometimes temporarily finally notice tells alive falling
+translated fresh tabs substring measure quantiles relationship fraction fits approximation conversions precise callables front profile download producing
+monotonically acceptable screen coordinate enforce shapes selecting uppercase fine executors transpose sampled attach retries coerce divisor slower matrices
+decreasing effectively mapper packaging warn quantized highlighted auth ndim cursor glob permission caused lineno pathname satisfies begins kinds ratio fold
+zones pickling belong equally username lemburg uniform kernel away division operand near metaclass hard cleared live anywhere bare proxies stats dataclasses
+ever facing learn kwds mismatch builder conf understand managed downloaded dealing constructing norm merging horizontal stacked classification transformers swap
+pathlib adjust resolver extras defaulting searched years updating closing interfaces nature managing reasonable nesting builds repeatedly considering piece
+implies signatures although incoming tell docstrings anchor pick uniformly indented scaled estimated impossible plot conventions customize world literals
+shifted sufficient payload repeat measured saves accumulated frozen propagated early concatenation waiting slicing bugs puts seem reuse branch specifiers
+relatively catch capturing circular annotated risk affects specifications datatypes serializer reflected evolving aggregations configurations randomly validates
+workaround iterating dateutil offers histogram frac singular animal datetimelike preference polynomial attention redirect fixture sequential quickly registering
+prefixes history unavailable sessions brackets dispatch entered week calendar composite inline hexadecimal ordinary pseudo involved reflect helpers exits minute
+moment incremental permitted terminate translate incomplete bold avoided squares rounded estimates population grammar significant adjusted recorded afterwards
+limitation success loader selector maybe customized verification verified compact transformer counter prepare validity interpretation dots runner mouse dist
+newer wrappers printable beta cover rename backport expose deserialized projection clustering skipping plotting retry bools individually elementwise upgrade
+decimals resultant cumulative iterated disables archives stdin keyed operating shorthand packed decorators garbage displaying divide typical truncating opposed
+unpickling commit parsers intercept improved achieve frequently letters compares nonnegative reduces loops executes naming bases escapes importlib cycle exceed
+imaginary ignores discard substitute transfer validating marks extends pull prevents conflicts diff originally adjacent unittest covered dialog rightmost emit
+concatenate resolving reach exposed adapted persistence collects orders metric semi dropping lazily statistical sqrt midx ddof kwarg nanoseconds conflict
+transition initializers declaration magic trees unpack covers triples digest cleanup tried diagnostic increased bitwise padded released unmodified patch
+fractional legal hierarchy introspection alone backslash covariance meet colon recognize unbounded simplest prepend classmethod initially extremely recently
+populate namespaces binding analyze essentially substrings relies linked subclassing appearance drawing alter black turtle finish collecting complexity phase
+specifically google receiving serializing upstream behind inferring java termination eventually relation hashes rely unbiased kernels parallelism choosing
+correspondence formatters diagonal midnight sourcecode multipart timezones masked pipe controlling slash enabling supply held identifies detection distutils
+exposes triple emits buffering protocols servers evaluating declarations degree predicted blue estimation roughly compound floor powers functools simultaneously
+ctypes fashion variants lookups simpler barrier reliable callers consumer existence marking redirects reversed approximated vertically oriented configurable
+answer prepared restart clause repeats assertion flatten flow central distinguish divided exponential coming simplified sees chaining bucket notebook combines
+tied cancel vectorized mutually equation sharing fragment verifying analogous dimensionality converters loads tracking light primary closes security conforms
+maintained bytearray hashing lacks lets optimize looked concurrent asynchronous async mixin management environments architecture helpful enclosing ordinal
+varies sockets scan quoting excel ensuring huge situation replacements caught smoothing linearly evenly ranks person idempotent exports expansion eval roots
+representable exponent multiplied invokes five came responses limitations forwarded containers situations threading manages determination drops surrounded
+percentage restriction vice versa displays merges aggregated underscores plane seems cleaning profiling timeouts tracebacks cpython enforced generators launch
+transport logically inherits developers stages reducing logs unnecessary tracks ahead country satisfied frequent persist bigint expr stay checkpoints
+probabilities summation statistic cores coercion stateful logged chunked comparable factors summed casted degradation holes achieved modern somewhat
+broadcasting capable draws thought menu appends subdirectories succeeds pointed decides weekday trivial implied thousands renaming drive endian coroutine
+listing installing programs anymore lifetime preceding purely hour flush reaches causing interpolated occurring bounded absent solely modulo border said
+accepting abstraction cert blocked lock dividing suffixes delay presented technique insensitively maintains interesting sorts delta clusters stuff jump
+picklable communication denote conjunction predicates micro operates leaf unix contrast additionally grained sink invocations pearson joins schemas checkpointed
+dedicated nulls backing consumption denotes listener idle teardown fetched aggregating concatenating regarding varying gradient decision shrinking train
+decomposition discards ffill bird indexers reorder derivative shortcut scenarios criteria folded clock concepts fixtures shifting idlelib iterates
+alphabetically unable symlink querying angle former signals feed peps repetitions globally suppressed triggered trip detects coverage clients narrow preceded
+malformed enclosed classic gaps coerced density percentiles aspects operands rounding adapter scanned timer overview trusted encapsulates tagged machinery
+assignments certificates modifications yourself slots similarity mutate persistent databases scheduled delimiters sections directives edit leftmost uniquely
+developed bindings accurate incorrectly images interact translates unions question restored setuptools initializes jobs pinned gateway unstable broadcasted
+ability eager standalone artifacts unpickled unordered approximately surrounding trust vocabulary papers projects quality thresholds urls serious putting fillna
+bfill escaping justify importable endpoints timeseries masking dark mimic suggested extracts cancelled development heads foreground masks forced populated
+asyncio candidates symlinks owner interaction centered exiting complement knows exceeded tail longest manipulation summarized hosts pieces managers multiply
+subtraction opens declare conn goal searches sheet green numbered fractions explained multiples exhausted sentence apart commas magnitude efficiently derive
+unaltered submodule inheritance timed simplify dest processor abbreviation conflicting obvious normalizes crash joining connecting bytestring resets transaction
+guessed overwrites counterpart integrate asked retrieves stripping allocation demand deeply referencing confusing highlights author people outcome examine
+extracting redirected chained course wider ellipsis checkers chance cartesian encouraged reproduce discussion natively structs explode growth textual plots
+obtaining plans exponentially refresh atomic initializing seealso pivot nanosecond ceil mathematical ranking quarter confidence renders bars factorization
+multiclass activated online embedding algebra flows psser cond swapped pser deduced tabular stacking clipboard respects alphanumeric relying surprising
+companion manual difficult optimal caution onnxruntime fused exported paste integrated spans ufunc listlike cookies prompts browser pack unaffected says tracing
+stopping leap altered shot worth fastest knowledge opposite captures basically subsequently await decodes tokenizer unary strftime repository microsecond timing
+shutdown domains mail cycles dialect subclassed pending folder slot official browse texts descendant clears scores separating denominator proportion cosine
+assumption zipfile maintaining greatest restrictions internals permissions mechanisms executions benefit accumulate matters trimmed mutated finder discovered
+duck chains overall thereof satisfying multiline""".split()

@@ -2,9 +2,9 @@
 
 The patterns assign, access and hex give the base spans.  `guess` adds values that stand where a credential is
 named, and that base spans do not hold, if guessing them would take 10 ** MIN_COST tries or more.  The cost
-of a value is that of its cheapest segmentation, by dynamic programming, into common words (in any
+of a value is that of its cheapest segmentation, by dynamic programming, into common words (of passwords and of prose, in any
 case, letters replaced or not), dates, repeats, runs of neighbouring characters, keyboard walks, and
-brute force.
+brute force.  A scheme (Bearer, Basic ...) may stand before the value; where a value is rejected the search goes on inside it.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; equal starts
 are ordered as KINDS; repeated rows each get their own row.
@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from helixframe.llm.prose_words import PROSE
 from helixframe.llm.shared import per_text
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -34,7 +35,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|secret|account)[_-]?key)["'\])]?\s{0,3}(?:=>|:=|[:=]|\bis\b)\s{0,3}["'(\[]?([^\s"'<>()\[\],;]{6,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|auth(?:orization)?|bearer|(?:api|access|private|secret|account)[_-]?key)["'\])]?\s*(?:=>|:=|[:=]|\bis\b)\s*["'(\[]?(?:(?:bearer|basic|token|digest|negotiate|apikey)\s+["'(\[]?)?([^\s"'<>()\[\],;]{6,})""",
     re.IGNORECASE | re.ASCII,
 )
 _HINTS = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "key")
@@ -48,8 +49,8 @@ company office home work spring summer autumn winter january february march apri
 september october november december monday tuesday wednesday thursday friday saturday sunday apple orange banana
 cookie coffee pepper ginger flower tiger eagle falcon london paris berlin madrid the and for you your none null
 true false redacted hidden removed insert here enter value string""".split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
+_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *PROSE]))}
+_LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("4310$57@!", "aeiosstai")
 
 # The rows of a keyboard; a key's neighbours stand beside it and half a key off in the rows above and below.
@@ -67,11 +68,6 @@ _YEAR = re.compile(r"(?:19|20)\d\d")
 _REACH = 64
 
 
-def classes(value: str) -> int:
-    """Lower, upper (not only the first letter), digits, others: how many the value has."""
-    return sum(bool(re.search(p, value)) for p in ("[a-z]", ".[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-
-
 def _runs(value: str, follows) -> list[int]:
     """For each place the end of the run that starts there, each character following the one before."""
     n = len(value)
@@ -82,44 +78,53 @@ def _runs(value: str, follows) -> list[int]:
     return end
 
 
+def _alphabet(value: str) -> int:
+    """How many characters there are of the classes that the value has."""
+    return max(10, 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 10 * bool(re.search("[0-9]", value)) + 33 * bool(re.search("[^A-Za-z0-9]", value)))
+
+
 def cost(value: str) -> float:
     """log10 of the tries of the cheapest segmentation."""
+    return _costs(value, _alphabet(value))[0] if len(value) <= LONG else _deflated(value)
+
+
+def _deflated(value: str) -> float:
+    return 8 * math.log10(2) * len(zlib.compress(value.encode("utf-8", "surrogatepass"), 9))
+
+
+def _costs(value: str, alphabet: int) -> list[float]:
+    """For each place the cost of the value from there on."""
     n, low = len(value), value.lower()
-    if not n:
-        return 0.0
-    if n > LONG:
-        return 8 * math.log10(2) * len(zlib.compress(value.encode("utf-8", "surrogatepass"), 9))
     plain = low.translate(_LEET)
-    alphabet = 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 10 * bool(re.search("[0-9]", value)) + 33 * bool(re.search("[^A-Za-z0-9]", value))
-    brute = math.log10(max(alphabet, 10))
+    brute = math.log10(alphabet)
     up, down = _runs(low, lambda a, b: ord(b) == ord(a) + 1), _runs(low, lambda a, b: ord(b) == ord(a) - 1)
     walk = _runs(low, _near)
     same = {u: [0] * (n + 1) for u in range(1, min(16, n // 2) + 1)}  # how long value[i:] agrees with itself u later
     for u, s in same.items():
         for i in range(n - u - 1, -1, -1):
             s[i] = s[i + 1] + 1 if value[i] == value[i + u] else 0
-    best = [0.0] + [math.inf] * n
-
-    def to(j: int, c: float) -> None:
-        if c < best[j]:
-            best[j] = c
+    best = [math.inf] * n + [0.0]
 
     def stretch(i: int, end: int, least: int, price) -> None:
         """Segments from i to each end within reach, and to the last one."""
         for j in {*range(i + least, min(end, i + _REACH) + 1), *((end,) if end >= i + least else ())}:
-            to(j, best[i] + price(j - i))
+            to(j, price(j - i))
+
+    for i in range(n - 1, -1, -1):
 
-    for i in range(n):
-        base = best[i]
-        to(i + 1, base + brute)
+        def to(j: int, c: float) -> None:
+            if c + best[j] < best[i]:
+                best[i] = c + best[j]
+
+        to(i + 1, brute)
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             for form, more in ((low, 0.0), (plain, 0.5)):
                 if rank := _RANK.get(form[i:j]):
-                    to(j, base + math.log10(rank + 1) + more + 0.3 * (value[i:j] != low[i:j]))
+                    to(j, math.log10(rank + 1) + more + 0.3 * (value[i:j] != low[i:j]))
         if m := _DATE.match(value, i):
-            to(m.end(), base + math.log10(365 * 120))
+            to(m.end(), math.log10(365 * 120))
         if m := _YEAR.match(value, i):
-            to(m.end(), base + math.log10(200))
+            to(m.end(), math.log10(200))
         for end in (up[i], down[i]):
             stretch(i, end, 3, lambda k: 1.0 + math.log10(k))
         stretch(i, walk[i], 3, lambda k: math.log10(47) + 0.35 * (k - 1))
@@ -127,8 +132,19 @@ def cost(value: str) -> float:
             if s[i] >= u:
                 unit = min(u * brute, math.log10(_RANK.get(low[i : i + u], 0) + 1) if low[i : i + u] in _RANK else math.inf)
                 for k in {*range(2, min(s[i] // u + 1, _REACH) + 1), s[i] // u + 1}:
-                    to(i + u * k, base + unit + math.log10(k))
-    return best[n]
+                    to(i + u * k, unit + math.log10(k))
+    return best
+
+
+def _held_cost(value: str, start: int, held: dict) -> float:
+    """cost(value), where values that start inside an earlier one and end with it share its segmentation."""
+    if len(value) > LONG:
+        return _deflated(value)
+    key = start + len(value), _alphabet(value)
+    if key not in held:
+        held[key] = start, _costs(value, key[1])
+    first, costs = held[key]
+    return costs[start - first]
 
 
 def spans(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
@@ -147,14 +163,18 @@ def spans(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
             most = max(most, s[2])
             upto.append(most)
         added = []
-        for m in CONTEXT.finditer(text):
+        at, held = 0, {}
+        while m := CONTEXT.search(text, at):
             value = m.group(1).rstrip(".:!?")
             a, b = m.start(1), m.start(1) + len(value)
             k = bisect.bisect_right(begins, a)
-            if k and upto[k - 1] >= b or len(value) < 6 or classes(value) < 2:
+            at = m.end()
+            if k and upto[k - 1] >= b:
                 continue
-            if cost(value) >= min_cost:
+            if len(value) >= 6 and _held_cost(value, a, held) >= min_cost:
                 added.append(("guess", a, b))
+            else:
+                at = a
         found = sorted(found + added, key=lambda s: (s[1], KINDS.index(s[0])))
     return found
 
