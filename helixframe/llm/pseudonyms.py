@@ -5,12 +5,16 @@ within all values of its format, the number goes through a Feistel network keyed
 until the result is again a value of the format, and is written as the value was.  So each kind is
 permuted: equal values stay equal in all documents, different ones different, checks still pass.
 
-Defined results: a null text stays null; what fails its check is left alone; where two kinds
+A match that fails its check is tried again without its last characters, digits and capitals being cut at borders of their groups
+only; the longest that passes is taken, and the search goes on from its end.
+
+Defined results: a null text stays null; what fails its check at every length is left alone; where two kinds
 overlap the one that starts first stands, of equal starts the one named first in KINDS.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import re
@@ -80,9 +84,12 @@ def phone(text: str, key: bytes) -> str | None:
     else:
         return None
     plan = lambda x: 2 <= x // 10**9 and 2 <= x // 10**6 % 10
-    if not plan(int(d)):
+    if plan(int(d)):
+        return _refill(text, head + f"{permute(int(d), 10**10, key, b'nanp', plan):010d}")
+    if not text.startswith("+"):
         return None
-    return _refill(text, head + f"{permute(int(d), 10**10, key, b'nanp', plan):010d}")
+    # written as a number of the plan: such stay among those outside it
+    return _refill(text, head + f"{permute(int(d), 10**10, key, b'nanp-outside', lambda x: not plan(x)):010d}")
 
 
 def _public(x: int) -> bool:
@@ -173,25 +180,54 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[str, bytes], str | None]]] = {
     "card": (re.compile(r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]|[.-][0-9])"), card),
     "ssn": (re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"), ssn),
     "ip": (re.compile(r"(?<![0-9A-Za-z.-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|[.-][0-9A-Za-z])"), ip),
-    "date": (re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"), date),
+    "date": (re.compile(r"(?<![0-9A-Za-z./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9])|[./-][0-9])"), date),
     "phone": (re.compile(r"(?<![0-9A-Za-z.+-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-]?[0-9]{2,4}){2,4}(?![0-9A-Za-z]|[.-][0-9])"), phone),
 }
 _ANY = re.compile(r"[0-9@]")
+#: Kinds whose values are written in groups, so that what follows a value may look like one group more.
+_GROUPED = ("iban", "card", "phone")
+_BORDER = re.compile(r"[\x20.-]")
 _BARE_PHONE = re.compile(r"[0-9]+\Z")
 
 
+def _ends(text: str, start: int, end: int, pattern: re.Pattern) -> list[int]:
+    """Where a value that the match from start to end begins with may end, the latest first."""
+    borders = [b.start() for b in _BORDER.finditer(text, start, end)]
+    return [end, *(b for b in reversed(borders) if pattern.fullmatch(text[start:b]))]
+
+
+def _meets(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether any of the stretches, in order of their starts, has a place between start and end."""
+    k = bisect.bisect_left(taken, (end,))
+    return any(b > start for _, b in taken[max(0, k - 20) : k])
+
+
 def spans(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym), none overlapping."""
     if not _ANY.search(text):
         return []
     found = []
     for place, (kind, (pattern, make)) in enumerate(KINDS.items()):
-        for m in pattern.finditer(text):
-            if kind == "phone" and _BARE_PHONE.match(m.group()):
-                continue  # digits alone do not show a phone number
-            new = make(m.group(), key)
-            if new is not None:
-                found.append((m.start(), place, m.end(), kind, new))
+        at, inside = 0, 0
+        taken = sorted((f[0], f[2]) for f in found) if kind == "phone" else []
+        while m := pattern.search(text, at):
+            at = m.end()
+            part = m.start() < inside
+            inside = max(inside, m.end())
+            for end in _ends(text, m.start(), m.end(), pattern) if kind in _GROUPED else [m.end()]:
+                value = text[m.start() : end]
+                if kind == "phone" and _BARE_PHONE.match(value):
+                    continue  # digits alone do not show a phone number
+                if (part or end < m.end()) and _meets(taken, m.start(), end):
+                    continue  # no check digit shows that a part of a longer match is a phone number
+                new = make(value, key)
+                if new is not None:
+                    found.append((m.start(), place, end, kind, new))
+                    at = end
+                    break
+            else:
+                if kind in _GROUPED and (border := _BORDER.search(text, m.start() + 1, m.end())):
+                    at = border.end()
     out, upto = [], 0
     for a, _, b, kind, new in sorted(found):
         if a >= upto:

@@ -137,6 +137,37 @@ def test_pseudonyms(spark):
         pseudonyms.pseudonymize(docs(spark, ODD), b"short")
 
 
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        ("4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]),
+        ("4111111111111111 123", ["4111111111111111"]),
+        ("12 4111111111111111 123", ["4111111111111111"]),
+        ("4111111111111111 4012888888881881", ["4111111111111111", "4012888888881881"]),
+        ("DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("DE89 3704 0044 0532 0130 00 BIC", ["DE89 3704 0044 0532 0130 00"]),
+        ("555-234-5678 2024", ["555-234-5678"]),
+        ("(415) 555-2671 12", ["(415) 555-2671"]),
+        ("at 2024-01-02T10:00 sharp", ["2024-01-02"]),
+        ("22 4311 1111 1111 1119", ["4311 1111 1111 1119"]),
+        ("12 415-555-2671 2024", ["415-555-2671"]),
+        ("call +1 (059) 555-3949 or +1 (659) 155-3949", ["+1 (059) 555-3949", "+1 (659) 155-3949"]),
+        ("ref 1234567890123456 2024-01-02Tuesday", []),
+    ],
+)
+def test_pseudonyms_of_values_before_more_digits(text, values):
+    found = pseudonyms.spans(text, b"0123456789abcdef")
+    assert [text[a:b] for a, b, _, _ in found] == values
+    assert all(new != text[a:b] and len(new) == b - a for a, b, _, new in found)
+
+
+def test_numbers_outside_the_plan_are_permuted_among_themselves():
+    plus = [f"+1 (0{i:02d}) 555-3949" for i in range(100)]
+    new = [pseudonyms.phone(p, b"0123456789abcdef") for p in plus]
+    assert len(set(new)) == 100 and all(n[4] in "01" or n[9] in "01" for n in new)
+    assert pseudonyms.phone("(059) 555-3949", b"0123456789abcdef") is None
+
+
 def test_language(spark):
     en = ["the cat and the dog went to the house with the others", "this is what they think about that thing"] * 6
     fr = ["le chat et la souris sont dans la maison avec les autres", "les choses que nous avons vues sont belles"] * 6
