@@ -16,7 +16,6 @@ import bisect
 import hashlib
 import math
 import re
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +26,6 @@ from helixframe.llm.shared import per_text
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_COST = 10.0
-#: Longer values are not segmented: their cost is the bits of their DEFLATE form.
-LONG = 2048
 
 # The patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -85,11 +82,7 @@ def _alphabet(value: str) -> int:
 
 def cost(value: str) -> float:
     """log10 of the tries of the cheapest segmentation."""
-    return _costs(value, _alphabet(value))[0] if len(value) <= LONG else _deflated(value)
-
-
-def _deflated(value: str) -> float:
-    return 8 * math.log10(2) * len(zlib.compress(value.encode("utf-8", "surrogatepass"), 9))
+    return _costs(value, _alphabet(value))[0]
 
 
 def _costs(value: str, alphabet: int) -> list[float]:
@@ -138,8 +131,6 @@ def _costs(value: str, alphabet: int) -> list[float]:
 
 def _held_cost(value: str, start: int, held: dict) -> float:
     """cost(value), where values that start inside an earlier one and end with it share its segmentation."""
-    if len(value) > LONG:
-        return _deflated(value)
     key = start + len(value), _alphabet(value)
     if key not in held:
         held[key] = start, _costs(value, key[1])

@@ -114,6 +114,13 @@ def test_values_inside_values_are_settled_in_linear_time():
     assert time.monotonic() - began < 20
 
 
+def test_guess_costs_do_not_turn_with_length():
+    for n in (1000, 1023, 1024, 1500, 3000):
+        assert secrets.cost("gz" * n + "1") < secrets.MIN_COST
+        assert not [s for s in secrets.spans("pwd: " + "gz" * n + "1") if s[0] == "guess"]
+    assert secrets.cost("x8$Kq!2mZp" + "a" * 3000) > secrets.MIN_COST
+
+
 def test_guess_costs():
     weak, strong = ["password", "P@ssw0rd1", "qwertyuiop", "aaaaaaaaaaaa", "abcabcabcabc", "19991231"], ["x8$Kq!2mZp", "7602ad27cf5550de1c"]
     assert max(map(secrets.cost, weak)) < 6 < 15 < min(map(secrets.cost, strong))
