@@ -11,7 +11,8 @@ Counts come from all training rows, but no task holds the whole automaton.  Docu
 blocks of BLOCK_BYTES of text.  A block asks for the n-grams that it holds, as sorted 64-bit hashes dealt by key range
 together with its own training counts; a range adds up and answers each block in the block's own
 order, so answers need no keys.  Then each block builds its part of the automaton and runs it over its
-documents.
+documents.  The automaton is evaluated for all tokens and orders at once, as the interpolation that gives the same
+weights; its states and arcs are not built.
 
 Defined results: a null text is empty (its end only); without training rows every token weighs 1 at
 the root; repeated rows count and are scored as often as they stand; no rows give no rows.
@@ -177,7 +178,7 @@ def _answer(table: pa.Table) -> pa.Table:
 
 
 class Automaton:
-    """The states and arcs that a block's documents can reach."""
+    """The counts of what a block's documents hold, and the weights that the automaton's arcs would carry."""
 
     def __init__(self, keys: list[np.ndarray], sums: list[np.ndarray], tokens: int, kinds: int, strength: float, growth: float):
         self.keys, self.sums, self.strength, self.growth = keys, sums, strength, growth
