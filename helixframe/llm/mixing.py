@@ -5,8 +5,9 @@ words; a target stops at CAP times its source's size and the excess is shared ag
 
 Each source is dealt into shards of about SHARD_WORDS words.  The house of blocks of BLOCK words
 goes to the shards by the highest quotients target / (2 s + 1): with a divisor d at which the
-rounded target / d add up to the house, a shard's quota is its rounded target / d.  (Shards that tie
-for the last seats get none of them.)  Within a shard the documents stand in a seeded order on a
+rounded target / d add up to the house, a shard's quota is its rounded target / d.  Shards that tie
+for the last seats get them in a seeded order.  A source with a target under one block has no part in the house: its
+quota is its target in words.  Within a shard the documents stand in a seeded order on a
 line of words that closes to a ring; the blocks taken are as many consecutive ones, from a seeded
 start, so a document's share is the overlap of two intervals and no block becomes a row.
 
@@ -93,6 +94,13 @@ def divisor(shards: DataFrame, votes: Column, seats: int, start: float) -> float
     return hi
 
 
+def tied(shards: DataFrame, seats: int, seed: int) -> DataFrame:
+    """last_source, last_shard, more (1): those of the tied shards that get one of the seats."""
+    order = [F.xxhash64(F.lit(seed + 3), "source", "shard"), F.col("source").asc_nulls_last(), F.col("shard")]
+    first = ranked(shards, order, "turn").where(F.col("turn") < seats)
+    return stash(first.select(F.col("source").alias("last_source"), F.col("shard").alias("last_shard"), F.lit(1).alias("more")), "last-seats")
+
+
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """Columns `keep` (in a struct `row`), size, source_size, target, taken, times, pieces.
 
@@ -113,14 +121,23 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", text
     join = lambda df: df.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source")).withColumn("shard", in_shard)
     votes = F.when(F.col("source_size") > 0, F.col("target") * F.col("shard_size") / F.col("source_size")).otherwise(0.0)
     shards = stash(join(light.select("id", "source", "size")).groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target")), "shards")
-    seats = math.floor(whole / block + 0.5)
-    d = divisor(shards, votes, seats, float(block)) if seats else float(block)
+    small = F.col("target") < block
+    seats = math.floor((whole - (sources.agg(F.sum(F.when(small, F.col("target")))).first()[0] or 0.0)) / block + 0.5)
+    house = F.when(small, 0.0).otherwise(votes)
+    d = divisor(shards, house, seats, float(block)) if seats > 0 else float(block)
+    seats_at = lambda d: F.floor(house / F.lit(d) + 0.5)
+    left = seats - (shards.agg(F.sum(seats_at(d))).first()[0] or 0) if seats > 0 else 0
+    last = tied(shards.where(seats_at(d * (1 - 1e-12)) > seats_at(d)), left, seed) if left > 0 else None
     ring = Window.partitionBy("source", "shard")
     line = ring.orderBy(F.xxhash64(F.lit(seed + 1), "id", "size"), "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     size, total = F.col("size"), F.col("shard_size")
-    taken = F.least(F.floor(votes / F.lit(d) + 0.5) * block, (total * F.lit(cap)).cast("long"))
+    blocks = seats_at(d) if last is None else seats_at(d) + F.coalesce("more", F.lit(0))
+    taken = F.least(F.when(small, F.floor(votes + 0.5)).otherwise(blocks * block), (total * F.lit(cap)).cast("long"))
+    dealt = join(sized)
+    if last is not None:
+        dealt = dealt.join(last, F.col("d.source").eqNullSafe(F.col("last_source")) & (F.col("shard") == F.col("last_shard")), "left")
     out = (
-        join(sized)
+        dealt
         .withColumns({"shard_size": F.sum("size").over(ring), "to": F.sum("size").over(line)})
         .withColumn("quota", taken)
         .withColumn("times", F.when(total > 0, F.expr("quota div shard_size")).otherwise(0))

@@ -208,6 +208,18 @@ def test_mixing(spark):
     assert mixing.mix(rows.limit(0)).count() == 0
 
 
+def test_mixing_gives_out_tied_seats_and_small_targets(spark):
+    rows = [(i, "w " * 100, "en", f"s{i}", None) for i in range(4)]
+    tie = mixing.mix(spark.createDataFrame(rows, DOC), block=100, weights=(1,)).select("row.doc_id", "taken").collect()
+    assert sorted(r.taken for r in tie) == [100, 100, 200, 200]
+    again = mixing.mix(spark.createDataFrame(rows[::-1], DOC).repartition(3), block=100, weights=(1,)).select("row.doc_id", "taken").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, tie))
+    few = spark.createDataFrame([(0, "w " * 3000, "en", "a", None), (1, "w " * 30, "en", "b", None), (2, "w " * 7, "en", None, None)], DOC)
+    got = {r.doc_id: r for r in mixing.mix(few).select("row.doc_id", "target", "taken").collect()}
+    assert [got[i].taken for i in (1, 2)] == [60, 14] == [got[i].target for i in (1, 2)]
+    assert abs(got[0].taken - got[0].target) <= mixing.BLOCK
+
+
 def test_language_stage_rejects_foreign_text_and_junk(spark):
     rng = np.random.default_rng(4)
     known = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("doc_id", "text", "lang")
