@@ -217,7 +217,8 @@ def contaminated(items, at_least: int = 2):
     return F.size(items) >= at_least
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, at_least: int = 2) -> DataFrame:
-    """docs without the contaminated ones, in the same columns."""
-    found = find(docs, benchmark, keep=docs.columns)
-    return found.where(contaminated(F.col(found.columns[len(docs.columns) + 2]), at_least)==F.lit(False)).select(*(F.col(f"`{c}`") for c in docs.columns))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """docs without those that hold a window of any item, in the same columns."""
+    found = find(docs, benchmark, keep=docs.columns, **options)
+    hit = F.col(f"`{found.columns[len(docs.columns) + 1]}`")
+    return found.where(hit == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
