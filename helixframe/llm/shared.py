@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import ctypes
 import ctypes.util
+import gc
+import re
 import tempfile
 import uuid
 
@@ -16,18 +18,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from helixframe.llm import kernels
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders in the shared one that are still to be deleted, with their sessions.
+_written: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir that driver and executors share.
 
-    Only where the session names none (tests on one machine) is a local one made and set.
+    Where the session names none, a local master (tests on one machine) gets one of its own; a cluster must name one.
     """
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     if (set_before := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         return set_before.get().rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     where = tempfile.mkdtemp(prefix="helixframe-")
     spark.sparkContext.setCheckpointDir(where)
     spark.conf.set("spark.checkpoint.dir", where)
@@ -35,20 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by `drop`, or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written[path] = spark
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended: nothing is left to ask
             return
 
@@ -58,7 +66,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stashed_at = path
+    return back
+
+
+def drop(*stashed: DataFrame) -> None:
+    """Delete tables that `stash` wrote, once nothing reads them any more.
+
+    Spark deletes the files of finished shuffles when the driver has collected their plans as garbage, so that is done too.
+    """
+    for df in stashed:
+        if spark := _written.pop(df.stashed_at, None):
+            _delete(spark, df.stashed_at)
+    gc.collect()
+    stashed[0].sparkSession._jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +107,12 @@ def trim() -> None:
         getattr(ctypes.CDLL(libc), "malloc_trim", lambda _: 0)(0)
 
 
-#: Rows of one Arrow batch of texts, where the session leaves Spark's 10,000: texts are long.
-BATCH_ROWS = 1000
-
-
 def per_text(docs: DataFrame, make, fields: T.StructType, *, text: str = "text", keep: list[str] | None = None, also: list[str] = ()) -> DataFrame:
     """Rows of docs with the columns `keep` and those that `make` computes from each step of texts.
 
     make() is called once a task and returns a function from (texts, other columns by name) to a
-    list of Arrow arrays in the order of `fields`.  Nothing is shuffled; a task holds one
-    step (kernels.STEP_BYTES of text) at a time.  A result whose name is taken in `keep` gets
+    list of Arrow arrays in the order of `fields`.  Nothing is shuffled; a task holds one batch, whose bytes
+    spark.sql.execution.arrow.maxBytesPerBatch bounds, and works on one step of it (kernels.STEP_BYTES of text) at a time.  A result whose name is taken in `keep` gets
     leading underscores.
     """
     keep = ["doc_id"] if keep is None else list(keep)
@@ -109,10 +127,6 @@ def per_text(docs: DataFrame, make, fields: T.StructType, *, text: str = "text",
     arrow = to_arrow_schema(schema)
     n, m = len(keep), len(also)
 
-    spark, batch_rows = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch_rows) == "10000":
-        spark.conf.set(batch_rows, str(BATCH_ROWS))
-
     def run(batches):
         work = make()
         for batch in batches:
