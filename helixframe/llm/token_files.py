@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import kernels as K
-from helixframe.llm.shared import per_text, shared_path, stash
+from helixframe.llm.shared import drop, per_text, shared_path, stash
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 _MAGIC, _HEAD = b"HXID", struct.Struct("<4sIIIQQ")
@@ -380,5 +380,7 @@ def encoded(docs: DataFrame, *, path: str | None = None, tokenizer: str | None =
     spark = docs.sparkSession
     out = path or shared_path(spark, "token-ids")
     doc_id = columns.get("doc_id", "doc_id")
-    write(stash(tokenize(docs, keep=[doc_id], text=columns.get("text", "text"), path=tokenizer), "ids"), out, doc_id=doc_id)
+    tokens = stash(tokenize(docs, keep=[doc_id], text=columns.get("text", "text"), path=tokenizer), "ids")
+    write(tokens, out, doc_id=doc_id)
+    drop(tokens)
     return with_starts(read(spark, out, with_ids=False)).select("doc_id", "start", "n_tokens", "ids_crc32")
