@@ -5,25 +5,24 @@ Texts whose sets have Jaccard similarity THRESHOLD or more are linked.  `banding
 for RECALL at the threshold; rows are shuffled by band hash and every pair that is tried is verified on
 the full sets (of 64-bit run hashes).
 
-A bucket of texts that share a band hash is settled once all its texts are in one component.  First
-every text is tried against its bucket's leader, so a bucket of near copies settles with as many pairs as
-texts.  Where that leaves a bucket in parts, the texts outside its largest part are asked, in blocks of a
-fixed size, against all texts of such buckets: each task looks its texts' runs up in the block's index, sees the
-exact similarity to all of the block, and gives out what joins parts.  So no partner is capped, and the
-components are those of all links among candidates.
+A bucket of texts that share a band hash is settled once all its texts are in one component, or have all been tried
+against each other.  First every text is tried against one leader, that of its largest bucket; then against the leaders
+of those of its buckets that are still of another component.  Where that leaves a bucket's other texts in parts, they meet in tasks that index
+their runs: one lookup of a text's runs gives its exact similarity to all texts of the index, and only what joins parts is given out.
+So no partner is capped, no pair within a bucket becomes a row, and the components are those of all links among candidates.
 
-Links are counted once components are known, as every link lies within one.  Components of a few texts are
-packed into tasks by label; each of the others is a block, or several, that all its texts are looked up in.
+Links are counted once components are known, as every link lies within one, by the same lookups.
+A bucket or component that is larger than one task's index is cut into slices, each pair of which meets in a task of its own.
 
 Defined results: copies of one text form one class whatever they hold; null and empty texts are in
 classes of their own; a class's id is its least doc_id; a null doc_id is never a class id if
 any member has another; repeated rows are copies; a row is linked to its copies, and to all rows of its class
-whose texts have similarity THRESHOLD or more with its own.
+whose texts have similarity THRESHOLD or more with its own; no rows give no rows; other columns, whatever
+their names, play no part, and `one_of_each` keeps them.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 
 import numpy as np
@@ -34,15 +33,15 @@ from pyspark.sql import types as T
 
 from helixframe.llm import kernels as K
 from helixframe.llm.decontamination import tokens
-from helixframe.llm.shared import per_text, stash
+from helixframe.llm.shared import drop, fresh, per_text, stash
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Ids of up to so many texts (24 bytes each) are broadcast to pick rows of documents; more go by shuffle.
 BROADCAST_ROWS = 500_000
 #: Sets of up to so many bytes are broadcast to the pairs that they are tried in.
 BROADCAST_BYTES = 32 << 20
-#: A component whose sets have up to so many bytes is counted within one task, with others up to about PACK_BYTES.
-CLASS_BYTES, PACK_BYTES = 256 << 10, 4 << 20
+#: Bytes of runs that one task indexes: smaller groups share a task, larger ones are cut into slices of about so many.
+TASK_BYTES = 4 << 20
 #: Different orders by which bands choose leaders.
 LEADS = 3
 
@@ -129,54 +128,41 @@ def sets(docs: DataFrame, *, text: str, keep: list[str], n: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, label of all nodes of links(a, b): the least node of its component.
 
-    Each round every node takes the least label among its neighbours', then its label's label; one table is
-    written a round.
+    Each round every node takes the least label among its neighbours', then its label's label.  Both sides of each
+    join are read from written tables, so that Spark can split what a hot node or label draws.
     """
     both = links.where("a != b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
     edges = stash(both.select("e.u", "e.v").distinct(), "edges")
-    labels = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+    labels = stash(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
     while True:
         around = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        nearer = labels.join(around, F.col("node") == F.col("u")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
+        nearer = stash(labels.join(around, F.col("node") == F.col("u")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label")), "nearer")
         jump = nearer.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        labels = stash(nearer.join(jump, F.col("label") == F.col("to")).select("node", F.least("label", "next").alias("label"), "was"), "labels")
+        before, labels = labels, stash(nearer.join(jump, F.col("label") == F.col("to")).select("node", F.least("label", "next").alias("label"), "was"), "labels")
         settled = labels.where("label != was").isEmpty()
-        labels = labels.select("node", "label")
+        drop(before, nearer)
         if settled:
+            drop(edges)
             return labels
 
 
 def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels after more links: the components themselves are joined, as nodes of a smaller graph."""
+    """node, label after more links(a, b): the components themselves are joined, as nodes of a smaller graph."""
     ends = links
     for c in "ab":
         name = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         ends = ends.join(name, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    ends = stash(ends, "ends")
-    over = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("over"))
-    known = labels.unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_label").alias("label")), F.struct(F.col("b").alias("node"), F.col("b_label").alias("label")))).alias("e")).select("e.node", "e.label")).distinct()
-    return known.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label"))
+    ends = stash(ends.select("a", "b", "a_label", "b_label"), "ends")
+    joined = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    over = joined.select(F.col("node").alias("label"), F.col("label").alias("over"))
+    known = labels.select("node", "label").unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_label").alias("label")), F.struct(F.col("b").alias("node"), F.col("b_label").alias("label")))).alias("e")).select("e.node", "e.label")).distinct()
+    out = stash(known.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label")), "labels")
+    drop(ends, joined)
+    return out
 
 
-def _blocks(asked: DataFrame, most: int | None = None):
-    """asked(node, label, runs) in blocks of at most `most` bytes of runs (or one text), as Arrow tables."""
-    most = BROADCAST_BYTES if most is None else most
-    size = F.sum(F.size("runs")) * 8
-    total = asked.agg(size).first()[0] or 0
-    n = max(1, -(-total * 2 // most)) if total > most else 1
-    while True:
-        block = F.pmod(F.xxhash64("node"), F.lit(n))
-        sizes = asked.groupBy(block.alias("block")).agg(size.alias("b"), F.count("*").alias("n")).collect()
-        if all(r.b <= most or r.n == 1 for r in sizes):
-            break
-        n *= 2
-    for r in sorted(sizes):
-        yield asked.where(block == r.block).toArrow()
-
-
-def _index(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _index(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All runs of the texts in order, the text that each is of, and each text's number of runs."""
-    runs = texts.column("runs").combine_chunks()
     flat = np.asarray(runs.flatten())
     size = np.asarray(runs.value_lengths())
     owner = np.repeat(np.arange(len(size)), size)
@@ -193,176 +179,179 @@ def _near(keys: np.ndarray, owners: np.ndarray, sizes: np.ndarray, mine: np.ndar
     return met / (len(mine) + sizes - met)
 
 
-_LINKED = "node binary, linked long"
-
+def _met(texts: DataFrame, group: str, most: int) -> DataFrame:
+    """texts(group, node, runs, ...) with part, i, j, own: a task gets the rows of one (part, i, j).
 
-def _linked(threshold: float, index: tuple, copies: np.ndarray, labels: np.ndarray, place: dict[bytes, int], texts) -> pa.RecordBatch:
-    """node and linked of texts (node, label, copies, runs): rows of the index whose texts have its label and are similar, itself among them if it is there."""
-    nodes, out = texts.column("node").to_pylist(), []
-    for label, mine in zip(texts.column("label").to_pylist(), texts.column("runs"), strict=True):
-        hits = (_near(*index, np.asarray(mine.values)) >= threshold) & (labels == place.get(label, -1))
-        out.append(int(copies[hits].sum()))
-    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.int64())], ["node", "linked"])
-
-
-def _numbered(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
-    """Of the texts the copies, the labels as numbers, and the number of each label."""
-    place: dict[bytes, int] = {}
-    labels = np.array([place.setdefault(x, len(place)) for x in texts.column("label").to_pylist()], np.int64)
-    return texts.column("copies").to_numpy(), labels, place
-
-
-def _count_packed(texts: DataFrame, pack: Column, threshold: float) -> DataFrame:
-    """node, linked of texts whose whole components have one value of pack."""
+    A group of up to TASK_BYTES of runs shares its part with other such groups.  A larger one is cut into slices by node;
+    slices i and j meet in one task, where own says which of them a row is of.  A row goes to as many tasks as its group has slices.
+    """
+    size = F.sum(F.size("runs")) * 8
+    sizes = stash(texts.groupBy(group).agg(size.alias("b")), "group-sizes")
+    small = sizes.where(F.col("b") <= TASK_BYTES).agg(F.sum("b")).first()[0] or 0
+    large = sizes.where(F.col("b") > TASK_BYTES).select(group, F.ceil(F.col("b") / TASK_BYTES).cast("int").alias("slices"))
+    if large.count() <= most:
+        large = F.broadcast(large)
+    key = F.xxhash64(group)
+    part = F.when(F.col("slices").isNull(), F.pmod(key, F.lit(max(1, -(-small // TASK_BYTES))))).otherwise(key)
+    cut = texts.join(large, group, "left").withColumns({"part": part, "slices": F.coalesce("slices", F.lit(1))})
+    cut = cut.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "node"), F.col("slices")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "slices")
+
+
+def _numbers(values: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal numbers from 0."""
+    return values.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
+def _lookups(table: pa.Table, group: str, threshold: float):
+    """(row, rows similar to it and of its group, their likeness): of one slice all, and of two those of the second among the first."""
+    own, groups = table.column("own").to_numpy(), _numbers(table.column(group))
+    one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    first = table.column("i")[0].as_py()
+    index = np.flatnonzero(own == first)
+    ask = index if one else np.flatnonzero(own != first)
+    if not len(index):
+        return
+    runs = table.column("runs").combine_chunks()
+    indexed = _index(runs.take(pa.array(index)))
+    for k in ask.tolist():
+        near = _near(*indexed, np.asarray(runs[k].values))
+        hits = np.flatnonzero((near >= threshold) & (groups[index] == groups[k]))
+        yield k, index[hits], near[hits]
+
+
+def _count(met: DataFrame, group: str, threshold: float) -> DataFrame:
+    """node, linked of rows dealt by _met: of every text the copies of all texts of its group that are similar, itself among them."""
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        return pa.Table.from_batches([_linked(threshold, _index(table), *_numbered(table), table)])
-
-    return texts.withColumn("pack", pack).groupBy("pack").applyInArrow(lambda t: work(t), _LINKED)
-
-
-def _count_against(every: DataFrame, block: pa.Table, threshold: float) -> DataFrame:
-    """node, linked of every text, counting the texts of the block."""
-    shared = every.sparkSession.sparkContext.broadcast((_index(block), *_numbered(block)))
-
-    def work(batches):
-        for batch in batches:
-            yield _linked(threshold, *shared.value, batch)
+        copies, linked = table.column("copies").to_numpy(), np.zeros(table.num_rows, np.int64)
+        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        for k, hits, _ in _lookups(table, group, threshold):
+            linked[k] += copies[hits].sum()
+            if not one:
+                linked[hits] += copies[k]
+        return pa.table({"node": table.column("node"), "linked": pa.array(linked)})
 
-    return every.select("node", "label", "copies", "runs").mapInArrow(work, _LINKED)
+    return met.groupBy("part", "i", "j").applyInArrow(lambda t: work(t), "node binary, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def _against(every: DataFrame, block: pa.Table, threshold: float) -> DataFrame:
-    """a (of every), b (of the block), likeness: of all links between texts of different labels, such as still join labels in the task.
+def _joining(met: DataFrame, group: str, threshold: float) -> DataFrame:
+    """a, b, likeness of rows dealt by _met, with labels: links within a group, such as still join labels in the task."""
 
-    The block is indexed by run: one lookup of a text's runs gives what it shares with every text of the block,
-    so no pair becomes a row.
-    """
-    shared = every.sparkSession.sparkContext.broadcast((*_index(block), block.column("node").to_pylist(), block.column("label").to_pylist()))
-
-    def work(batches):
-        keys, owners, sizes, nodes, labels = shared.value
-        place: dict[bytes, int] = {}
-        own = np.array([place.setdefault(x, len(place)) for x in labels])
-        root = np.arange(len(place))
-        for batch in batches:
-            out = []
-            for node_, label, mine in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                near = _near(keys, owners, sizes, np.asarray(mine.values))
-                hits = np.flatnonzero(near >= threshold)
+    def work(table: pa.Table) -> pa.Table:
+        nodes, label = table.column("node"), _numbers(table.column("label"))
+        root = np.arange(label.max() + 1)
+        out = []
+        for k, hits, near in _lookups(table, group, threshold):
+            while True:  # one hit for each component that is not the text's own yet
+                more = root[label[hits]] != root[label[k]]
+                hits, near = hits[more], near[more]
                 if not len(hits):
-                    continue
-                k = place.get(label)
-                if k is None:
-                    k = place[label] = len(place)
-                    root = np.append(root, k)
-                while True:  # one hit for each component that is not the text's own yet
-                    hits = hits[root[own[hits]] != root[k]]
-                    if not len(hits):
-                        break
-                    h = int(hits[0])
-                    out.append((node_, nodes[h], float(near[h])))
-                    root[root == root[own[h]]] = root[k]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.float64())], ["a", "b", "likeness"])
-
-    return every.select("node", "label", "runs").mapInArrow(work, "a binary, b binary, likeness double")
+                    break
+                out.append((k, int(hits[0]), float(near[0])))
+                root[root == root[label[hits[0]]]] = root[label[k]]
+        a, b = (nodes.take(pa.array([r[c] for r in out], pa.int64())) for c in (0, 1))
+        return pa.table({"a": a, "b": b, "likeness": pa.array([r[2] for r in out], pa.float64())})
+
+    return met.groupBy("part", "i", "j").applyInArrow(lambda t: work(t), "a binary, b binary, likeness double")
 
 
 def _pick(docs: DataFrame, few: DataFrame, on: list[str], how: str, most: int) -> DataFrame:
-    """docs semi- or anti-joined to few on null-safe keys."""
+    """docs semi- or anti-joined to few on null-safe keys, which few has in the order of `on`."""
     if few.count() <= most:
         few = F.broadcast(few)
-    few = few.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(on)))
-    return docs.join(few, [F.col(f"`{c}`").eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(on)], how)
+    keys = [fresh(docs, f"key_{i}") for i in range(len(on))]
+    few = few.toDF(*keys)
+    return docs.join(few, [F.col(f"`{c}`").eqNullSafe(F.col(k)) for c, k in zip(on, keys, strict=True)], how)
 
 
 class Join:
-    """The tables of one join: rows (id, node), nodes, links (a, b, likeness), labels (node, label)."""
+    """The tables of one join: rows (id, node), nodes (node, id, copies), sets (node, runs), labels (node, label) of the linked nodes."""
 
     def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES, broadcast_rows: int = BROADCAST_ROWS):
         bands, rows = banding(threshold, recall, most_hashes)
         body = F.col(f"`{text}`")
-        self.broadcast_rows = broadcast_rows
-        self.keyed = docs.select(F.col(f"`{doc_id}`").alias("id"), node(body).alias("node"), body.alias("text"))
-        signed = stash(signatures(self.keyed, text="text", keep=["id", "node"], n=n, bands=bands, rows=rows), "signatures")
-        self.rows = signed.select("id", "node")
-        self.nodes = stash(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "nodes")
+        self.threshold, self.broadcast_rows = threshold, broadcast_rows
+        keyed = docs.select(F.col(f"`{doc_id}`").alias("id"), node(body).alias("node"), body.alias("text"))
+        signed = stash(signatures(keyed, text="text", keep=["id", "node"], n=n, bands=bands, rows=rows), "signatures")
+        self.rows = stash(signed.select("id", "node"), "rows")
+        banded = stash(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "banded")
+        self.nodes = stash(banded.select("node", "id", "copies"), "nodes")
+        drop(signed)
         bucket = F.xxhash64("band", "key").alias("bucket")
-        every = self.nodes.select("node", F.posexplode("bands").alias("band", "key")).select(bucket, "node", F.xxhash64("node", F.col("band") % LEADS).alias("turn"))
+        every = banded.select("node", F.posexplode("bands").alias("band", "key")).select(bucket, "node", F.xxhash64("node", F.col("band") % LEADS).alias("turn"))
         shared = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("turn", "node")).alias("lead")).where("n > 1")
         shared = stash(shared.select("bucket", "n", F.col("lead.node").alias("leader")), "buckets")
         self.members = stash(every.select("bucket", "node").join(shared, "bucket"), "members")
+        drop(banded, shared)
         needed = self.members.select("node").distinct().join(self.nodes, "node").select("id", "node")
-        texts = _pick(self.keyed, needed, ["id", "node"], "left_semi", broadcast_rows)
+        texts = _pick(keyed, needed, ["id", "node"], "left_semi", broadcast_rows)
         self.sets = stash(sets(texts, text="text", keep=["node"], n=n).dropDuplicates(["node"]), "sets")
-        self.threshold = threshold
-        self.links = self._link()
+        self.labels = self._link()
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """pairs(a, b) with their likeness: b's set goes to each pair (broadcast, if those fit), then pairs are dealt by a."""
         pairs = stash(pairs, "pairs")
         a, b = (self.sets.select(F.col("node").alias(c), F.col("runs").alias(f"{c}_runs")) for c in "ab")
-        b = b.join(pairs.select("b").distinct(), "b", "left_semi")
-        if (b.agg(F.sum(F.size("b_runs"))).first()[0] or 0) * 8 <= BROADCAST_BYTES:
-            b = F.broadcast(b)
+        asked = b.join(pairs.select("b").distinct(), "b", "left_semi")
+        if (asked.agg(F.sum(F.size("b_runs"))).first()[0] or 0) * 8 <= BROADCAST_BYTES:
+            b = F.broadcast(asked)
         both = pairs.join(b, "b").join(a, "a")
         met = F.size(F.array_intersect("a_runs", "b_runs"))
-        return stash(both.select("a", "b", (met / (F.size("a_runs") + F.size("b_runs") - met)).alias("likeness")), "tried")
+        out = stash(both.select("a", "b", (met / (F.size("a_runs") + F.size("b_runs") - met)).alias("likeness")), "tried")
+        drop(pairs)
+        return out
+
+    def _known(self, labels: DataFrame) -> DataFrame:
+        """members with their label and their leader's; a text without links is its own label."""
+        mine, theirs = labels.select("node", "label"), labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
+        known = self.members.join(mine, "node", "left").join(theirs, "leader", "left")
+        return known.withColumns({"label": F.coalesce("label", "node"), "leader_label": F.coalesce("leader_label", "leader")})
 
     def _link(self) -> DataFrame:
-        pairs = self.members.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        tried = self._verified(pairs)
-        links = tried.where(F.col("likeness") >= self.threshold)
-        self.labels = components(links)
-        known = self.members.select("bucket", "node").join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        parts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("bucket", "main.label")
-        open_ = stash(known.join(main.withColumnRenamed("label", "main"), "bucket"), "open")
-        rest = stash(open_.where("label != main").select("node", "label").distinct(), "rest")
-        if rest.isEmpty():
-            return links
-        asked = stash(self.sets.join(rest, "node").select("node", "label", "runs"), "asked")
-        every = stash(self.sets.join(open_.select("node", "label").distinct(), "node"), "every")
-        found = None
-        for block in _blocks(asked):
-            more = stash(_against(every, block, self.threshold), "found")
-            found = more if found is None else found.unionByName(more)
-        self.labels = stash(joined_components(self.labels, found.select("a", "b")), "labels")
-        return links.unionByName(found)
+        followers = self.members.where("node != leader")
+        first = followers.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
+        tried = self._verified(first)
+        linked = F.col("likeness") >= self.threshold
+        labels = components(tried.where(linked))
+        # leaders of buckets that the first round left in parts
+        known = self._known(labels).where("node != leader and label != leader_label")
+        second = known.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        again = self._verified(second)
+        wider = joined_components(labels, again.where(linked).select("a", "b"))
+        drop(tried, again, labels)
+        # every leader has met all of its bucket: what is left are buckets whose other texts are in parts
+        known = stash(self._known(wider).where("node != leader").select("bucket", "node", "label"), "known")
+        parts = known.groupBy("bucket", "label").agg(F.lit(1).alias("one"))
+        open_ = stash(parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket"), "open")
+        if open_.isEmpty():
+            drop(known, open_)
+            return wider
+        few = F.broadcast(open_) if open_.count() <= self.broadcast_rows else open_
+        texts = stash(known.join(few, "bucket").join(self.sets, "node").select("bucket", "node", "label", "runs"), "open-texts")
+        found = stash(_joining(_met(texts, "bucket", self.broadcast_rows), "bucket", self.threshold), "found")
+        labels = joined_components(wider, found.select("a", "b"))
+        drop(known, open_, texts, found, wider)
+        return labels
 
     def classes(self) -> DataFrame:
         """node, label (the class's least node), id (least of the text's copies), copies, class_id of every distinct non-empty text."""
-        labelled = stash(self.labels.join(self.nodes.select("node", "id", "copies"), "node"), "labelled")
+        labelled = stash(self.labels.select("node", "label").join(self.nodes, "node"), "labelled")
         least = stash(labelled.groupBy("label").agg(F.min("id").alias("class_id")), "classes")
         joined = labelled.join(least, "label").select("node", "label", "class_id")
-        alone = self.nodes.select("node", "id", "copies").join(joined, "node", "left")
-        return stash(alone.select("node", F.coalesce("label", "node").alias("label"), "id", "copies", F.coalesce("class_id", "id").alias("class_id")), "node-classes")
+        alone = self.nodes.join(joined, "node", "left")
+        out = stash(alone.select("node", F.coalesce("label", "node").alias("label"), "id", "copies", F.coalesce("class_id", "id").alias("class_id")), "node-classes")
+        drop(labelled, least)
+        return out
 
     def linked(self) -> DataFrame:
         """node, linked: the rows (its own among them) whose texts are similar, of every text of a component."""
-        texts = self.labels.join(self.nodes.select("node", "copies"), "node").join(self.sets, "node")
+        texts = self.labels.select("node", "label").join(self.nodes.select("node", "copies"), "node").join(self.sets, "node")
         texts = stash(texts.select("node", "label", "copies", "runs"), "class-sets")
-        bytes_ = F.sum(F.size("runs")) * 8
-        sizes = stash(texts.groupBy("label").agg(bytes_.alias("b")), "class-sizes")
-        large = sizes.where(F.col("b") > CLASS_BYTES)
-        small = sizes.where(F.col("b") <= CLASS_BYTES).agg(F.sum("b")).first()[0] or 0
-        packs = F.pmod(F.xxhash64("label"), F.lit(max(1, -(-small // PACK_BYTES))))
-        counts = _count_packed(texts.join(large, "label", "left_anti"), packs, self.threshold)
-        found = [stash(counts, "linked")]
-        group, held = [], 0
-        groups: list[list[bytes]] = []
-        for r in large.orderBy("label").collect():  # at most one row a CLASS_BYTES of sets
-            if group and held + r.b > BROADCAST_BYTES:
-                groups.append(group)
-                group, held = [], 0
-            group.append(bytes(r.label))
-            held += r.b
-        for group in [*groups, group] if group else groups:
-            some = texts.where(F.col("label").isin(group))
-            found += [stash(_count_against(some, block, self.threshold), "linked") for block in _blocks(some)]
-        return functools.reduce(DataFrame.unionByName, found).groupBy("node").agg(F.sum("linked").alias("linked"))
+        out = stash(_count(_met(texts, "label", self.broadcast_rows), "label", self.threshold), "linked")
+        drop(texts)
+        return out
 
     def documents(self) -> DataFrame:
         """doc_id, class_id, n_links of every row.
@@ -371,9 +360,14 @@ class Join:
         whose texts have the similarity.
         """
         known = self.classes().join(self.linked(), "node", "left").select("node", "class_id", (F.coalesce("linked", "copies") - 1).alias("n_links"))
+        self.close()
         out = self.rows.alias("r").join(known.alias("c"), "node", "left")
         return out.select(F.col("r.id").alias("doc_id"), F.coalesce("class_id", "r.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
+    def close(self) -> None:
+        """Delete the join's tables but rows; what classes() and linked() have returned stays."""
+        drop(self.members, self.sets, self.nodes, self.labels)
+
 
 def node(text: Column) -> Column:
     """What copies of a text share: 16 bytes; null for null and empty texts."""
@@ -384,16 +378,18 @@ def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """docs without all rows of a class but the one of least id (and of rows repeated with it, one)."""
     found = Join(docs, doc_id=doc_id, text=text, **options)
     classes = found.classes()
+    found.close()
     rows = found.rows.where("node is not null").groupBy("id", "node").agg(F.count("*").alias("times"))
     # a class's least id may stand on several texts, or be null: the text that comes first stays
     heads = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("head"))
-    ranked = rows.join(classes.select("node", "label", F.col("id").alias("least")), "node").join(heads, "label")
-    stays = F.col("id").eqNullSafe(F.col("least")) & (F.col("node") == F.col("head.node"))
-    marked = stash(ranked.select("id", "node", stays.alias("stays"), "times"), "marked")
-    key, body = "_id", "_node"
+    heads = heads.select(F.col("head.id").alias("head_id"), F.col("head.node").alias("head_node"))
+    marked = rows.join(heads, F.col("id").eqNullSafe(F.col("head_id")) & (F.col("node") == F.col("head_node")), "left")
+    marked = stash(marked.select("id", "node", F.col("head_node").isNotNull().alias("stays"), "times").where("not stays or times > 1"), "marked")
+    drop(classes, found.rows)
+    key = fresh(docs, "id_of_row")
+    body = fresh(docs, "node_of_row")
     keyed = docs.withColumns({key: F.col(f"`{doc_id}`"), body: node(F.col(f"`{text}`"))})
-    gone = marked.where("not stays or times > 1").select(F.col("id").alias(key), F.col("node").alias(body))
-    again = marked.where("stays and times > 1").select(F.col("id").alias(key), F.col("node").alias(body))
+    gone, again = marked.select("id", "node"), marked.where("stays").select("id", "node")
     kept = _pick(keyed, gone, [key, body], "left_anti", found.broadcast_rows).drop(key, body)
     twice = _pick(keyed, again, [key, body], "left_semi", found.broadcast_rows).dropDuplicates([key, body]).drop(key, body)
     return kept.unionByName(twice)
