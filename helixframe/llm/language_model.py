@@ -10,9 +10,8 @@ standing for all).  A traversal goes left to right and holds the state: the long
 Counts come from all training rows, but no task holds the whole automaton.  Documents are packed in
 blocks of BLOCK_BYTES of text.  A block asks for the n-grams that it holds, as sorted 64-bit hashes dealt by key range
 together with its own training counts; a range adds up and answers each block in the block's own
-order, so answers need no keys.  Then each block builds its part of the automaton and runs it over its
-documents.  The automaton is evaluated for all tokens and orders at once, as the interpolation that gives the same
-weights; its states and arcs are not built.
+order, so answers need no keys.  Then each block builds its part of the automaton, the states and arcs that its documents can reach, and
+runs it over them.  The rows dealt are those of (block, range) that share a key, so never more than the blocks' different n-grams.
 
 Defined results: a null text is empty (its end only); without training rows every token weighs 1 at
 the root; repeated rows count and are scored as often as they stand; no rows give no rows.
@@ -34,6 +33,8 @@ from helixframe.llm.shared import stash
 #: n-gram order; pseudo-count of the failure arc for a state seen once, and how it grows with the state's count.
 ORDER, STRENGTH, GROWTH = 2, 3.0, 0.8
 BLOCK_BYTES, RANGE_KEYS = 14 << 20, 1 << 20
+#: Tokens that one traversal takes of a long text.
+LANE = 1024
 _START, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -133,8 +134,7 @@ def _ask(order: int, bits: int):
                 tokens, begin = sequences(table.column(table.num_columns - 1).combine_chunks())
                 train = np.repeat(np.array(table.column(table.num_columns - 2).to_pylist(), bool), np.diff(begin))
                 for n, keys in enumerate(grams(tokens, begin, order), 1):
-                    every = np.sort(keys)
-                    every = every[np.append(True, every[1:] != every[:-1])]
+                    every = distinct(keys)
                     own = np.sort(keys[train])
                     lo = np.searchsorted(own, every, "left")
                     counts = np.append(lo[1:], len(own)) - lo
@@ -177,27 +177,105 @@ def _answer(table: pa.Table) -> pa.Table:
     )
 
 
-class Automaton:
-    """The counts of what a block's documents hold, and the weights that the automaton's arcs would carry."""
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    out = np.sort(hashes)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+
 
-    def __init__(self, keys: list[np.ndarray], sums: list[np.ndarray], tokens: int, kinds: int, strength: float, growth: float):
-        self.keys, self.sums, self.strength, self.growth = keys, sums, strength, growth
-        self.root = np.log10((sums[0] + 0.5) / (tokens + 0.5 * (kinds + 1)))
+class Automaton:
+    """States, weighted arcs and failure arcs for the n-grams that a block's documents hold.
+
+    State 0 is the root, states 1 to order - 1 stand for as many starts, and each other state is a shorter n-gram seen in
+    training.  `arc` holds state * words + word of every arc, in order, with its log10 weight and where it leads;
+    the root has an arc for every word.  `fail` and `fail_weight` are the failure arcs.
+    """
+
+    def __init__(self, own: list[np.ndarray], begin: np.ndarray, keys: list[np.ndarray], sums: list[np.ndarray], tokens: int, kinds: int, strength: float, growth: float):
+        """own: the n-grams that end at each token, by n; keys and sums: the different ones and their training counts."""
+        order = len(own)
+        self.order, self.words = order, max(1, len(keys[0]))
+        root = np.log10((sums[0] + 0.5) / (tokens + 0.5 * (kinds + 1)))
+        self.root, self.seen = root, sums[0]
         at = np.searchsorted(keys[0], _END)
-        self.texts = int(sums[0][at]) if len(keys[0]) else 0  # how often training left the start
-
-    def run(self, own: list[np.ndarray], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token: its count, the root's log10 weight, and the log10 weight along the traversal."""
-        at = np.searchsorted(self.keys[0], own[0])
-        seen, base = self.sums[0][at], self.root[at]
-        weight, reached = 10.0**base, seen
-        for keys, sums, ends in zip(self.keys[1:], self.sums[1:], own[1:], strict=True):
-            state = np.concatenate([[self.texts], reached[:-1]])  # count of the state that the token leaves
-            state[begin[:-1]] = self.texts
-            reached = sums[np.searchsorted(keys, ends)]
-            back = self.strength * np.maximum(state, 1) ** self.growth
-            weight = (reached + back * weight) / (state + back)
-        return seen, base, np.log10(weight)
+        texts = int(sums[0][at]) if len(keys[0]) else 0  # how often training left the start
+        place = [np.searchsorted(k, x) for k, x in zip(keys, own, strict=True)]
+        self.word = place[0]
+        # state numbers of the shorter n-grams, -1 for those that training lacks; counts[state] is how often training was in it
+        number, counts, fail = [], [np.full(order, texts)], [np.maximum(np.arange(order) - 1, 0)]
+        first = [np.zeros(len(k), np.int64) for k in keys]  # a token at which each n-gram ends
+        for f, at_ in zip(first, place, strict=True):
+            f[at_] = np.arange(len(at_))
+        size = order
+        for n in range(1, order):
+            known = np.flatnonzero(sums[n - 1] > 0)
+            mine = np.full(len(keys[n - 1]), -1, np.int64)
+            mine[known] = size + np.arange(len(known))
+            # the failure arc of an n-gram leads to its last n - 1 words; one that begins at a start has them all the same
+            fail.append(number[-1][place[n - 2][first[n - 1][known]]] if n > 1 else np.zeros(len(known), np.int64))
+            counts.append(sums[n - 1][known])
+            number.append(mine)
+            size += len(known)
+        self.counts, self.fail = np.concatenate(counts), np.concatenate(fail)
+        back = strength * np.maximum(self.counts, 1.0) ** growth
+        self.fail_weight = np.log10(back / (self.counts + back))
+        # arcs: an n-gram's leads from the state of its first n - 1 words to that of its last order - 1
+        opens = np.zeros(len(own[0]), bool)
+        opens[begin[:-1]] = True
+        arc, weight, leads = [np.arange(len(keys[0]))], [root], [np.maximum(number[0], 0) if order > 1 else np.zeros(len(keys[0]), np.int64)]
+        below = 10.0**root
+        for n in range(2, order + 1):
+            known = np.flatnonzero(sums[n - 1] > 0)
+            end = first[n - 1][known]
+            state = np.where(opens[end], n - 1, number[n - 2][place[n - 2][end - 1]])
+            shorter = below[place[n - 2][end]]  # the word's weight where the failure arc leads
+            value = (sums[n - 1][known] + back[state] * shorter) / (self.counts[state] + back[state])
+            arc.append(state * self.words + place[0][end])
+            weight.append(np.log10(value))
+            leads.append(number[n - 1][known] if n < order else number[n - 2][place[n - 2][end]])
+            below = np.zeros(len(keys[n - 1]))
+            below[known] = value
+        arc = np.concatenate(arc)
+        by = np.argsort(arc, kind="stable")
+        self.arc, self.weight, self.leads = arc[by], np.concatenate(weight)[by], np.concatenate(leads)[by]
+
+    def run(self, begin: np.ndarray) -> np.ndarray:
+        """The log10 weight of each token, by traversals from left to right, many at once.
+
+        A text's traversal begins at its start.  A long text is cut into lanes: as a state spans order - 1 tokens, a lane
+        that begins at the root so many tokens before its own is in the right state when it comes to these.
+        """
+        total = np.zeros(len(self.word))
+        size = np.diff(begin)
+        lane = max(LANE, self.order)
+        lanes = -(-size // lane)
+        first = np.repeat(begin[:-1], lanes)
+        start = first + lane * (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+        stop = np.minimum(start + lane, np.repeat(begin[1:], lanes))
+        start = np.maximum(first, start - (self.order - 1))
+        state = np.where(start == first, self.order - 1, 0)
+        by = np.argsort(start - stop, kind="stable")  # longest first: those still running are always in front
+        start, stop, state = start[by], stop[by], state[by]
+        running = np.searchsorted(start - stop, -np.arange(1, (stop - start).max(initial=0) + 1), "right")
+        for t, n in enumerate(running.tolist()):  # a lane comes later to the tokens that the next one begins with, so its weights stay
+            at = start[:n] + t
+            total[at] = self._step(state[:n], self.word[at])
+        return total
+
+    def _step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Each traversal's log10 weight for its next word; `state` is moved on."""
+        out, todo = np.zeros(len(state)), np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            found = self.arc[at] == key
+            done, at = todo[found], at[found]
+            out[done] += self.weight[at]
+            state[done] = self.leads[at]
+            todo = todo[~found]
+            out[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return out
 
 
 def score(docs: DataFrame, train: Column, *, text: str = "text", keep: list[str] | None = None, order: int = ORDER, strength: float = STRENGTH, growth: float = GROWTH) -> DataFrame:
@@ -230,10 +308,10 @@ def score(docs: DataFrame, train: Column, *, text: str = "text", keep: list[str]
             ns, sums = np.array(right.column("n").to_pylist()), right.column("sums").to_pylist()
             keys, totals = [], []
             for n, x in enumerate(own, 1):
-                every = np.sort(x)
-                keys.append(every[np.append(True, every[1:] != every[:-1])])
+                keys.append(distinct(x))
                 totals.append(np.concatenate([unpack_counts(sums[i]) for i in np.flatnonzero(ns == n)]))
-            seen, base, weight = Automaton(keys, totals, tokens, kinds, strength, growth).run(own, begin)
+            model = Automaton(own, begin, keys, totals, tokens, kinds, strength, growth)
+            seen, base, weight = model.seen[model.word], model.root[model.word], model.run(begin)
             sum_of = lambda x: np.add.reduceat(x, begin[:-1])
             n_docs = table.num_rows
             cols = [table.column(i) for i in range(len(keep))]
