@@ -84,14 +84,15 @@ def test_ngram_join(spark, broadcast_rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
     nameless = spark.createDataFrame([(None, t, None, None, None) for t in ("p q r s t", "u v w x y", "u v w x y")], DOC)
     assert sorted(r.text for r in ngram_join.one_of_each(nameless).collect()) == ["p q r s t", "u v w x y"]
-    assert ngram_join.Join(table(spark, texts).limit(0)).documents().count() == 0
+    assert ngram_join.Join(table(spark, texts).limit(0)).documents().count() == 0 == ngram_join.one_of_each(table(spark, texts).limit(0)).count()
 
 
-@pytest.mark.parametrize("class_bytes, block_bytes", [(ngram_join.CLASS_BYTES, ngram_join.BROADCAST_BYTES), (3000, 20_000), (0, 2000)])
-def test_ngram_join_counts_all_links(spark, monkeypatch, class_bytes, block_bytes):
-    monkeypatch.setattr(ngram_join, "CLASS_BYTES", class_bytes)
-    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", block_bytes)
-    monkeypatch.setattr(ngram_join, "PACK_BYTES", 4000)
+@pytest.mark.parametrize("task_bytes, broadcast_bytes, most_hashes", [(ngram_join.TASK_BYTES, ngram_join.BROADCAST_BYTES, 128), (3000, 0, 128), (500, 0, 600)])
+def test_ngram_join_counts_all_links(spark, monkeypatch, task_bytes, broadcast_bytes, most_hashes):
+    """Also with groups cut into many slices, and with more bands of fewer rows, whose buckets stay in parts."""
+    monkeypatch.setattr(ngram_join, "TASK_BYTES", task_bytes)
+    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", broadcast_bytes)
+    monkeypatch.setattr(ngram_join, "banding", lambda *_: (most_hashes // 2, 2) if most_hashes > 128 else (24, 5))
     texts = corpus(1)
     sets = [runs(t) for t in texts]
     linked = lambda i, j: texts[i] and texts[j] and (texts[i] == texts[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
@@ -100,6 +101,16 @@ def test_ngram_join_counts_all_links(spark, monkeypatch, class_bytes, block_byte
     for parts in (1, 7):
         got = ngram_join.Join(table(spark, texts).repartition(parts)).documents().orderBy("doc_id").collect()
         assert [r.n_links for r in got] == want
+        assert [r.class_id for r in got] == brute_classes(texts)
+
+
+def test_ngram_join_keeps_columns_of_any_name(spark):
+    """Clashing names, and one id on several rows."""
+    rows = [(1, "a b c d e f", 5, 6, 7), (1, "a b c d e f", 5, 6, 7), (2, "a b c d e f", 8, 9, 10), (3, "q r s t u v", 1, 2, 3), (3, None, 4, 4, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id long, node long, key_0 long")
+    kept = ngram_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(kept.collect(), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)
 
 
 def test_components(spark):
@@ -108,32 +119,64 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
-def test_language_model(spark, monkeypatch):
+@pytest.mark.parametrize("order, lane", [(1, 1024), (2, 5), (3, 4), (4, 1024)])
+def test_language_model(spark, monkeypatch, order, lane):
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(language_model, "RANGE_KEYS", 100)
-    texts = corpus(4)
+    monkeypatch.setattr(language_model, "LANE", lane)
+    texts = [*corpus(4), "w1 w2 w3 w1 w2 w3 w1 w2 w4"]
     held = table(spark, texts).withColumn("train", F.col("doc_id") % 5 != 1)
-    got = {r.doc_id: r for r in language_model.score(held, F.col("train"), keep=["doc_id", "train"]).collect()}
-    tokens = [[w for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())] + [None] for t in texts]
-    uni, bi = collections.Counter(), collections.Counter()
-    for i, t in enumerate(tokens):
-        if i % 5 != 1:
-            uni.update(t)
-            bi.update(zip(["<s>", *t[:-1]], t))
-    n, v, starts = sum(uni.values()), len(uni), sum(i % 5 != 1 for i in range(len(texts)))
+    held = held.unionByName(held.where("doc_id = 30"))  # a repeated row counts twice
+    got = {r.doc_id: r for r in language_model.score(held, F.col("train"), keep=["doc_id", "train"], order=order).collect()}
+    tokens = [["<s>"] * (order - 1) + re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [None] for t in texts]
+    count, state = collections.Counter(), collections.Counter()
+    for i, t in enumerate(tokens + [tokens[30]]):
+        if i % 5 != 1 or i == len(tokens):
+            for at in range(order - 1, len(t)):
+                for n in range(1, order + 1):
+                    count[tuple(t[at - n + 1 : at + 1])] += 1
+                    state[tuple(t[at - n + 1 : at])] += 1
+    n, v = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+
+    def weight(gram):
+        if len(gram) == 1:
+            return (count[gram] + 0.5) / (n + 0.5 * (v + 1))
+        c = state[gram[:-1]] if gram[-2] == "<s>" else count[gram[:-1]]
+        back = language_model.STRENGTH * max(c, 1) ** language_model.GROWTH if c else None
+        return weight(gram[1:]) if back is None else (count[gram] + back * weight(gram[1:])) / (c + back)
+
     for i, t in enumerate(tokens):
-        base = score = 0.0
-        for a, b in zip(["<s>", *t[:-1]], t):
-            p = (uni[b] + 0.5) / (n + 0.5 * (v + 1))
-            c = starts if a == "<s>" else uni[a]
-            back = language_model.STRENGTH * max(c, 1) ** language_model.GROWTH
-            base += math.log10(p)
-            score += math.log10((bi[a, b] + back * p) / (c + back))
+        own = range(order - 1, len(t))
+        base = sum(math.log10(weight((t[at],))) for at in own)
+        score = sum(math.log10(weight(tuple(t[at - order + 1 : at + 1]))) for at in own)
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(uni[w] > 0 for w in t), n)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[(t[at],)] > 0 for at in own), n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
     assert language_model.score(held.limit(0), F.lit(True)).count() == 0
-    assert language_model.score(held, F.lit(False)).where("base_score = 0").count() == len(texts)
+    assert language_model.score(held, F.lit(False)).where("base_score = 0 and score = 0").count() == len(texts) + 1
+
+
+def test_automaton_weights_add_up():
+    """Out of each state that a text goes on from, the words' weights and one unseen word's add up to 1."""
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 30, 20)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    tokens = rng.integers(1, 12, begin[-1]).astype(np.uint64)
+    tokens[begin[1:] - 1] = language_model._END
+    own = language_model.grams(tokens, begin, 3)
+    keys, sums = zip(*(np.unique(x, return_counts=True) for x in own))
+    model = language_model.Automaton(own, begin, list(keys), list(sums), len(tokens), len(keys[0]), 3.0, 0.8)
+    words = np.arange(len(keys[0]))
+    unseen = np.log10(0.5 / (len(tokens) + 0.5 * (len(words) + 1)))
+    ended = set(model.leads[model.arc % model.words == np.searchsorted(keys[0], language_model._END)].tolist())
+    for state in range(len(model.counts)):
+        if state not in ended:
+            total = (10 ** model._step(np.full(len(words), state), words)).sum()
+            at, rest = state, unseen
+            while at:
+                rest += model.fail_weight[at]
+                at = model.fail[at]
+            assert total + 10**rest == pytest.approx(1)
 
 
 def test_fingerprints(spark):
