@@ -50,6 +50,16 @@ def translate(seq: Column, no_check: bool = False) -> Column:
     return F.when((F.length(dna) % 3 == 0) & (F.left(dna, F.lit(3)) != "ATG"), fail("no start codon")).when((F.length(dna) % 3 == 0) & ~last.isin(*STOPS), fail("no stop codon")).otherwise(out)
 
 
+def same_sequence(a: Column, b: Column) -> Column:
+    """uid, seq and seq_type are equal; info plays no part."""
+    return (a["uid"] == b["uid"]) & (a["seq"] == b["seq"]) & (a["seq_type"] == b["seq_type"])
+
+
+def sequence_text(uid: Column, seq: Column, seq_type: Column) -> Column:
+    """A sequence in a line: its type, id and length."""
+    return F.format_string("%s %s (%d)", seq_type, uid, F.length(seq))
+
+
 def strip_gaps(seq: Column) -> Column:
     return F.replace(seq, F.lit("-"), F.lit(""))
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.functions.intervals import segment
 from helixframe.functions.sequences import strip_gaps
 from helixframe.functions.variants import allele_class, clean_rs
-from helixframe.operators.intervals import overlap_join
+from helixframe.operators.intervals import islands, overlap_join
+from helixframe.operators.prefix import fresh
 from helixframe.operators.sequences import check_indels
 
 # Categories of principal isoforms, best first.
@@ -54,10 +58,56 @@ def genes_by_symbol(genes: DataFrame, xrefs: DataFrame, symbols: DataFrame) -> D
     return symbols.join(xrefs, "symbol").join(genes.withColumnRenamed("symbol", "gene_symbol"), F.col("ensembl_gene_id") == F.col("gene_id"))
 
 
+def _overlapping(regions: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Rows of table(chrom, start, end, key) that overlap any segment of regions(region_id, chrom, start, end), once a region."""
+    c, s, e = fresh(table.columns, "region_chrom", "region_start", "region_end")
+    asked = regions.select(F.col("region_id"), F.col("chrom").alias(c), F.col("start").alias(s), F.col("end").alias(e))
+    return overlap_join(asked, table, left_on=(c, s, e)).drop(c, s, e).dropDuplicates(["region_id", key])
+
+
+def transcripts_in(regions: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """Transcripts that overlap any segment of regions(region_id, chrom, start, end)."""
+    return _overlapping(regions, transcripts, "enst")
+
+
+def region_of(genes: DataFrame, out: str = "region") -> DataFrame:
+    """genes or transcripts with their region, of one segment."""
+    return genes.withColumn(out, F.array(segment(F.col("chrom"), F.col("start"), F.col("end"))))
+
+
 def genes_in(regions: DataFrame, genes: DataFrame) -> DataFrame:
     """Genes that overlap any segment of regions(region_id, chrom, start, end)."""
-    asked = regions.select(F.col("region_id"), F.col("chrom").alias("_rc"), F.col("start").alias("_rs"), F.col("end").alias("_re"))
-    return overlap_join(asked, genes, left_on=("_rc", "_rs", "_re")).drop("_rc", "_rs", "_re").dropDuplicates(["region_id", "gene_id"])
+    return _overlapping(regions, genes, "gene_id")
+
+
+def isoforms_of(table: DataFrame, gene: str) -> DataFrame:
+    """The transcripts of a gene, each with its category."""
+    return table.where(F.col("ensembl_gene") == gene).select("ensembl_transcript", "category")
+
+
+def category_of(table: DataFrame, transcript: str) -> DataFrame:
+    """The category of a transcript; no row where the table lacks it."""
+    return table.where(F.col("ensembl_transcript") == transcript).select("category")
+
+
+def variants_by_rs(names: DataFrame, sites: DataFrame, vclass: str | None = None) -> DataFrame:
+    """A variant for each alternative of the sites(id, chrom, start, end, alleles) named in names(rs); of one class, if asked.
+
+    A site of one base is a SNP, others are indels.  Unknown names give no row.
+    """
+    if vclass not in (None, "SNP", "INDEL"):
+        raise ValueError(f"vclass is SNP, INDEL or None, not {vclass!r}")
+    known = names.where(F.col("rs").isNotNull()).select(F.col("rs").alias("id")).distinct().join(sites, "id").where(F.size("alleles") >= 2)
+    kind = F.when(F.col("start") == F.col("end"), "SNP").otherwise("INDEL")
+    alts = F.explode(F.transform(F.slice("alleles", 2, F.size("alleles")), F.upper))
+    rows = known.select(F.col("id").alias("rs"), "chrom", F.col("start").alias("pos"), F.upper(F.get("alleles", F.lit(0))).alias("ref"), alts.alias("alt"), kind.alias("vclass"))
+    return rows if vclass is None else rows.where(F.col("vclass") == vclass)
+
+
+def annotated(variants: DataFrame, annotations: DataFrame) -> DataFrame:
+    """variants(rs, ...) with maf, evidence and most_severe_consequence of annotations(rs, ...); null where there are none."""
+    known = annotations.groupBy(F.col("rs").alias("rs_")).agg(*(F.max(c).alias(c) for c in ("maf", "evidence", "most_severe_consequence")))
+    return variants.join(known, F.col("rs") == F.col("rs_"), "left").drop("rs_")
 
 
 def variants_in(regions: DataFrame, sites: DataFrame, chunks: DataFrame | None = None, *, include_gaps: bool = False) -> DataFrame:
@@ -100,18 +150,32 @@ def homologs(table: DataFrame, gene_id: str, kind: str) -> DataFrame:
 PAD = 3e-3
 
 
-def lanes(genes: DataFrame, *, by: list[str], start: str = "start", end: str = "end", key: str = "gene_id", pad: float = PAD) -> DataFrame:
-    """key, lane (0, -1, ...): each gene of a group, by start and end, in the first lane whose last end it clears."""
+def lanes(genes: DataFrame, *, by: list[str], start: str = "start", end: str = "end", key: str = "gene_id", pad: float = PAD, window: tuple[float, float] | None = None) -> DataFrame:
+    """by, key, lane (0, -1, ...): each gene of a group, by start, end and key, in the first lane whose last end it clears.
+
+    window: only genes that overlap it count, and they are clipped to it.  Genes are dealt by islands between which nothing
+    stands, as no lane passes from one to the next; so a task holds an island, not a chromosome.
+    """
     fields = ", ".join(f"`{c}` {genes.schema[c].dataType.simpleString()}" for c in [*by, key])
+    lo, hi = F.col(start).cast("double"), F.col(end).cast("double")
+    if window is not None:
+        genes = genes.where((hi >= window[0]) & (lo <= window[1]))
+        lo, hi = F.greatest(lo, F.lit(float(window[0]))), F.least(hi, F.lit(float(window[1])))
+    group = F.concat(*(F.concat(F.coalesce(F.length(F.col(c).cast("string")), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in by)) if by else F.lit("")
+    placed = genes.select(*by, key, group.alias("lane_group"), F.col(start).alias("lane_first"), F.col(end).alias("lane_last"), lo.alias("lane_from"), (hi + F.lit(pad)).alias("lane_to"))
+    cut = islands(placed, on=("lane_group", "lane_from", "lane_to"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, end, key], kind="stable")
-        ends: list[float] = []
+        pdf = pdf.sort_values(["lane_first", "lane_last", key], kind="stable")
+        busy: list[tuple[float, int]] = []
+        free: list[int] = []
         out = []
-        for s, e in zip(pdf[start], pdf[end], strict=True):
-            j = next((i for i, last in enumerate(ends) if last < s), len(ends))
-            ends[j : j + 1] = [e + pad]
+        for s, e in zip(pdf["lane_from"], pdf["lane_to"], strict=True):
+            while busy and busy[0][0] < s:
+                heapq.heappush(free, heapq.heappop(busy)[1])
+            j = heapq.heappop(free) if free else len(busy)
+            heapq.heappush(busy, (e, j))
             out.append(-j)
         return pdf[[*by, key]].assign(lane=out)
 
-    return genes.groupBy(*by).applyInPandas(pack, f"{fields}, lane int")
+    return cut.groupBy("lane_group", "island").applyInPandas(pack, f"{fields}, lane int")

@@ -1,28 +1,63 @@
-"""Running maxima along a chromosome without one task for each chromosome."""
+"""Running extremes along a chromosome without one task for each chromosome."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bases of one chunk of a chromosome; a window holds the rows of one chunk.
 CHUNK = 1 << 20
+#: Parts that rows without a chromosome are dealt into: they have no place, so nothing runs along them.
+NOWHERE = 1024
+
+
+def fresh(taken: Iterable[str], *stems: str) -> list[str]:
+    """Column names that are not taken, one for each stem."""
+    used, out = {c.lower() for c in taken}, []
+    for name in stems:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+@dataclass(frozen=True)
+class Running:
+    """The largest value on the rows before (backward: the least on the rows after; inclusive: and on the row itself)."""
+
+    value: Column
+    backward: bool = False
+    inclusive: bool = False
 
 
-def running(df: DataFrame, by: str, pos: str, value: Column, out: str, *, order: list[Column] | None = None, inclusive: bool = False, backward: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """df with `out`: the largest value on rows before (backward: the least on rows after), by `pos`.
+def running(df: DataFrame, by: str, pos: str, order: list[Column], **wanted: Running) -> DataFrame:
+    """df with a column for each of `wanted`, along `order` (which begins with `pos`) within each `by`.
 
-    Rows are windowed within chunks; what the other chunks add comes from one row a chunk.
+    Rows are windowed within chunks; what the other chunks add comes from one row a chunk, so that no task holds more
+    than a chunk's rows, or a chromosome's chunks.  df is read twice, however many columns are wanted.  Rows without `by` or `pos` get null.
     """
-    pick = F.min if backward else F.max
-    both = F.least if backward else F.greatest
-    order = order or [F.col(pos)]
-    cut = df.withColumns({"_chunk": F.floor(F.col(pos) / chunk), "_value": value})
-    edge = 0 if inclusive else 1
-    frame = (edge, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -edge)
-    here = Window.partitionBy(by, "_chunk").orderBy(*order).rowsBetween(*frame)
-    chunks = cut.groupBy(by, "_chunk").agg(pick("_value").alias("_most"))
-    outer = Window.partitionBy(by).orderBy("_chunk").rowsBetween(*((1, Window.unboundedFollowing) if backward else (Window.unboundedPreceding, -1)))
-    chunks = chunks.select(F.col(by).alias("_by"), F.col("_chunk").alias("_at"), pick("_most").over(outer).alias("_far"))
-    found = cut.withColumn("_near", pick("_value").over(here)).join(chunks, F.col(by).eqNullSafe(F.col("_by")) & F.col("_chunk").eqNullSafe(F.col("_at")), "left")
-    return found.withColumn(out, both("_near", "_far")).drop("_chunk", "_value", "_near", "_far", "_by", "_at")
+    chunk, at, by_, part = fresh([*df.columns, *wanted], "chunk", "chunk_at", "chunk_by", "chunk_part")
+    values, far = fresh([*df.columns, *wanted, chunk, at, by_, part], *(f"value_{k}" for k in wanted)), {}
+    placed = F.col(by).isNotNull() & F.col(pos).isNotNull()
+    cut = df.withColumn(chunk, F.floor(F.col(pos) / CHUNK)).withColumn(part, F.when(~placed, F.pmod(F.monotonically_increasing_id(), F.lit(NOWHERE))))
+    cut = cut.withColumns(dict(zip(values, (w.value for w in wanted.values()), strict=True)))
+    pick = lambda w: F.min if w.backward else F.max
+    chunks = cut.where(placed).groupBy(F.col(by).alias(by_), F.col(chunk).alias(at)).agg(*(pick(w)(v).alias(v) for v, w in zip(values, wanted.values(), strict=True)))
+    outer = Window.partitionBy(by_).rowsBetween(Window.unboundedPreceding, -1)
+    for v, (name, w) in zip(values, wanted.items(), strict=True):
+        # a frame that grows is cheap, one that shrinks is not: so the least on the rows after runs along the order turned round
+        far[name] = pick(w)(v).over(outer.orderBy(F.col(at).desc() if w.backward else F.col(at)))
+    chunks = chunks.select(by_, at, *(c.alias(f"far_{i}") for i, c in enumerate(far.values())))
+    here = Window.partitionBy(by, chunk, part)
+    near = {}
+    for v, (name, w) in zip(values, wanted.items(), strict=True):
+        lines = [c.desc() for c in order] if w.backward else order
+        near[name] = pick(w)(v).over(here.orderBy(*lines).rowsBetween(Window.unboundedPreceding, 0 if w.inclusive else -1))
+    found = cut.withColumns(near).drop(*values).join(chunks, (F.col(by) == F.col(by_)) & (F.col(chunk) == F.col(at)), "left")
+    for i, (name, w) in enumerate(wanted.items()):
+        found = found.withColumn(name, F.when(placed, (F.least if w.backward else F.greatest)(F.col(name), F.col(f"far_{i}"))))
+    return found.select(*(f"`{c}`" for c in df.columns), *wanted)

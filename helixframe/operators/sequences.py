@@ -3,45 +3,76 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.prefix import fresh
+
+#: Characters that one step of base-base correlation takes (a longer sequence is a step of its own).
+STEP_CHARS = 1 << 20
+
 
 def base_frequencies(seqs: DataFrame, *, uid: str = "uid", seq: str = "seq") -> DataFrame:
-    """uid, base, n, freq."""
-    each = seqs.select(uid, F.length(seq).alias("size"), F.explode(F.split(F.col(seq), "")).alias("base")).where("base != ''")
-    return each.groupBy(uid, "base").agg(F.count("*").alias("n"), (F.count("*") / F.first("size")).alias("freq"))
-
-
-def correlation(seq: str, k: int, alphabet: str) -> np.ndarray:
-    """Base-base correlation over lags 1 to k + 1, row by row of the sorted alphabet."""
-    if k > len(seq) - 2:
-        raise ValueError(f"k = {k} is too large for {len(seq)} characters")
-    letters = "".join(sorted(alphabet))
-    place = np.full(0x110000, -1, np.int32)
-    place[[ord(c) for c in letters]] = np.arange(len(letters))
-    code = place[np.frombuffer(seq.encode("utf-32-le"), np.uint32)]
+    """uid, base, n, freq of each row of seqs, for the characters that it has; nothing is shuffled."""
+    letters = F.filter(F.array_distinct(F.split(F.col(seq), "")), lambda b: b != "")
+    size = F.length(seq)
+    each = F.transform(letters, lambda b: F.struct(b.alias("base"), (size - F.length(F.replace(F.col(seq), b, F.lit("")))).cast("long").alias("n")))
+    rows = seqs.select(uid, size.alias("size"), F.explode(each).alias("each"))
+    return rows.select(uid, "each.base", "each.n", (F.col("each.n") / F.col("size")).alias("freq"))
+
+
+def correlations(seqs: list[str], k: int, letters: str) -> np.ndarray:
+    """Base-base correlation of each sequence over lags 1 to k + 1, row by row of the letters, which are sorted."""
+    size = np.array([len(x) for x in seqs])
+    if short := size[size < k + 2].tolist():
+        raise ValueError(f"k = {k} is too large for {short[0]} characters")
     m = len(letters)
-    p = np.bincount(code[code >= 0], minlength=m) / max(1, (code >= 0).sum())
-    expected = np.outer(p, p)
-    total = np.zeros((m, m))
+    alphabet = np.array([ord(c) for c in letters], np.uint32)
+    text = np.frombuffer("".join(seqs).encode("utf-32-le"), np.uint32)
+    place = np.minimum(np.searchsorted(alphabet, text), m - 1)
+    known = alphabet[place] == text
+    row = np.repeat(np.arange(len(seqs)), size)
+    n = np.bincount(row[known] * m + place[known], minlength=len(seqs) * m).reshape(-1, m)
+    p = n / np.maximum(1, n.sum(axis=1, keepdims=True))
+    expected = p[:, :, None] * p[:, None, :]
+    total = np.zeros_like(expected)
+    cell = row * m * m + place * m
     for lag in range(1, k + 2):
-        a, b = code[:-lag], code[lag:]
-        ok = (a >= 0) & (b >= 0)
-        d = np.bincount(a[ok] * m + b[ok], minlength=m * m).reshape(m, m) / len(a) - expected
+        both = known[:-lag] & known[lag:] & (row[:-lag] == row[lag:])
+        pairs = np.bincount((cell[:-lag] + place[lag:])[both], minlength=len(seqs) * m * m).reshape(-1, m, m)
+        d = pairs / (size - lag)[:, None, None] - expected
         total += d + d**2 / 2 * expected**2 + d**3
-    return total.ravel()
+    return total.reshape(len(seqs), -1)
 
 
-def base_base_correlation(seqs: DataFrame, k: int = 10, alphabet: str = "ACGT", *, uid: str = "uid", seq: str = "seq") -> DataFrame:
-    """uid, bbc (array of len(alphabet) ** 2).  A sequence's pairs are counted in numpy, where a join would make a row for each position and lag."""
+def base_base_correlation(seqs: DataFrame, k: int = 10, alphabet: str | None = "ACGT", *, uid: str = "uid", seq: str = "seq") -> DataFrame:
+    """uid, alphabet (sorted), bbc (its length squared values).  Without an alphabet each sequence's own characters are taken.
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else correlation(x, k, alphabet).tolist())
-
-    return seqs.select(uid, run(F.col(seq)).alias("bbc"))
+    Pairs are counted in numpy for many sequences at a time, where a join would make a row for each position and lag.  A null sequence has a null bbc.
+    """
+    kind = seqs.schema[uid].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            texts, out, letters = batch.column(1).to_pylist(), [None] * batch.num_rows, [None] * batch.num_rows
+            groups: dict[str, list[int]] = {}
+            for i, t in enumerate(texts):
+                if t is not None:
+                    groups.setdefault("".join(sorted(set(t if alphabet is None else alphabet))), []).append(i)
+            for own, rows in groups.items():
+                lo = 0
+                while lo < len(rows):
+                    hi, chars = lo + 1, len(texts[rows[lo]])
+                    while hi < len(rows) and chars + len(texts[rows[hi]]) <= STEP_CHARS:
+                        chars += len(texts[rows[hi]])
+                        hi += 1
+                    for i, found in zip(rows[lo:hi], correlations([texts[i] for i in rows[lo:hi]], k, own), strict=True):
+                        out[i], letters[i] = found, own
+                    lo = hi
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(letters, pa.string()), pa.array(out, pa.list_(pa.float64()))], [uid, "alphabet", "bbc"])
+
+    return seqs.select(uid, F.col(seq).alias("seq")).mapInArrow(run, f"`{uid}` {kind}, alphabet string, bbc array<double>")
 
 
 def with_reference(df: DataFrame, chunks: DataFrame, *, chrom: str = "chrom", start: str = "start", end: str = "end", out: str = "sequence") -> DataFrame:
@@ -51,16 +82,17 @@ def with_reference(df: DataFrame, chunks: DataFrame, *, chrom: str = "chrom", st
     on chromosome and chunk; only the spans asked for, each once, are put together.
     """
     size = chunks.where("chunk_id = 0").agg(F.max(F.length("seq"))).first()[0] or 1
-    asked = df.select(F.col(chrom).alias("_c"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e")).distinct()
-    asked = asked.where("_c is not null and _s >= 1 and _s <= _e")
-    each = asked.withColumn("_k", F.explode(F.sequence(F.floor((F.col("_s") - 1) / size), F.floor((F.col("_e") - 1) / size))))
-    pieces = chunks.select(F.col("chrom").alias("_rc"), F.col("chunk_id").cast("long").alias("_rk"), F.col("chunk_start").cast("long").alias("_at"), "seq")
-    met = each.join(pieces, (F.col("_c") == F.col("_rc")) & (F.col("_k") == F.col("_rk")))
-    lo, hi = F.greatest("_s", "_at"), F.col("_e")
-    part = F.substring(F.col("seq"), (lo - F.col("_at") + 1).cast("int"), (F.least(hi, F.col("_at") + size - 1) - lo + 1).cast("int"))
-    whole = met.groupBy("_c", "_s", "_e").agg(F.array_sort(F.collect_list(F.struct("_k", part.alias("p")))).alias("parts"))
-    whole = whole.select("_c", "_s", "_e", F.upper(F.array_join(F.transform("parts", lambda x: x["p"]), "")).alias(out)).where(F.length(out) == F.col("_e") - F.col("_s") + 1)
-    return df.join(whole, (F.col(chrom) == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e")), "left").drop("_c", "_s", "_e")
+    c, s, e = fresh([*df.columns, out], "span_chrom", "span_start", "span_end")
+    asked = df.select(F.col(chrom).alias(c), F.col(start).cast("long").alias(s), F.col(end).cast("long").alias(e)).distinct()
+    asked = asked.where(F.col(c).isNotNull() & (F.col(s) >= 1) & (F.col(s) <= F.col(e)))
+    each = asked.withColumn("k", F.explode(F.sequence(F.floor((F.col(s) - 1) / size), F.floor((F.col(e) - 1) / size))))
+    pieces = chunks.select(F.col("chrom").alias("rc"), F.col("chunk_id").cast("long").alias("rk"), F.col("chunk_start").cast("long").alias("at"), "seq")
+    met = each.join(pieces, (F.col(c) == F.col("rc")) & (F.col("k") == F.col("rk")))
+    lo, hi = F.greatest(s, "at"), F.col(e)
+    part = F.substring(F.col("seq"), (lo - F.col("at") + 1).cast("int"), (F.least(hi, F.col("at") + size - 1) - lo + 1).cast("int"))
+    whole = met.groupBy(c, s, e).agg(F.array_sort(F.collect_list(F.struct("k", part.alias("p")))).alias("parts"))
+    whole = whole.select(c, s, e, F.upper(F.array_join(F.transform("parts", lambda x: x["p"]), "")).alias(out)).where(F.length(out) == F.col(e) - F.col(s) + 1)
+    return df.join(whole, (F.col(chrom) == F.col(c)) & (F.col(start) == F.col(s)) & (F.col(end) == F.col(e)), "left").drop(c, s, e)
 
 
 def check_snps(snps: DataFrame, chunks: DataFrame, *, flip: bool = False) -> DataFrame:
@@ -107,3 +139,26 @@ def region_sequences(regions: DataFrame, chunks: DataFrame, *, species: str = "h
     found = with_reference(regions, chunks, out="seq")
     uid: Column = F.format_string("chr%s:%d-%d", "chrom", "start", "end")
     return found.select(uid.alias("uid"), "seq", F.lit("DNA").alias("seq_type"), F.create_map(F.lit("species"), F.lit(species)).alias("info"))
+
+
+def sequences_of_regions(regions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """region_id with its segments' sequences in order: regions(region_id, chrom, start, end) may have several segments each."""
+    found = with_reference(regions, chunks, out="seq")
+    parts = F.array_sort(F.collect_list(F.struct("start", "end", "seq")))
+    return found.groupBy("region_id").agg(parts.alias("parts")).select("region_id", F.transform("parts", lambda p: p["seq"]).alias("seqs"))
+
+
+def distinct_sequences(seqs: DataFrame) -> DataFrame:
+    """One row of each uid, seq and seq_type; info plays no part."""
+    return seqs.dropDuplicates(["uid", "seq", "seq_type"])
+
+
+def last_of_each(seqs: DataFrame, *, uid: str = "uid", ordinal: str = "ordinal") -> DataFrame:
+    """Of the rows with one uid the last by ordinal."""
+    row = F.struct(*(F.col(f"`{c}`") for c in seqs.columns))
+    return seqs.groupBy(F.col(uid)).agg(F.max_by(row, F.col(ordinal)).alias("last")).select("last.*")
+
+
+def sequence_by_id(seqs: DataFrame, uid: str, *, ordinal: str = "ordinal") -> DataFrame:
+    """The last row with that uid, or no row."""
+    return last_of_each(seqs.where(F.col("uid") == uid), ordinal=ordinal)

@@ -289,7 +289,153 @@ def genes_in_region(spark, d):
     return found.join(counts, "chrom").select("chrom", "gene_id", "n")
 
 
-@query()
+_LANES = """select strand, gene_id, cast(lane as int) as lane from (
+  with recursive marked as (
+    select strand, gene_id, cast(gene_start as double) as s, gene_end + 0.003 as e from genes),
+  opened as (
+    select *, case when s <= max(e) over (partition by strand order by s, e, gene_id rows between unbounded preceding and 1 preceding) then 0 else 1 end as opens from marked),
+  numbered as (
+    select *, sum(opens) over (partition by strand order by s, e, gene_id rows unbounded preceding) as island from opened),
+  ordered as (
+    select *, row_number() over (partition by strand, island order by s, e, gene_id) as i from numbered),
+  placed as (
+    select strand, island, i, gene_id, 0 as lane, [e] as ends from ordered where i = 1
+    union all
+    select strand, island, i, gene_id, -(coalesce(nullif(j, 0), len(ends) + 1) - 1) as lane,
+      case when coalesce(j, 0) = 0 then list_append(ends, e) else list_concat(list_concat(ends[1:j - 1], [e]), ends[j + 1:]) end as ends
+    from (select o.strand, o.island, o.i, o.gene_id, o.e, p.ends, list_position(list_transform(p.ends, lambda x: x < o.s), true) as j
+      from placed p join ordered o on o.strand = p.strand and o.island = p.island and o.i = p.i + 1))
+  select strand, gene_id, lane from placed)"""
+
+
+@query(_LANES, "genes")
 def gene_lanes(spark, d):
-    """Greedy and sequential: tested against a plain loop."""
-    return genes_.lanes(_genes(spark, d), by=["chrom"], start="gene_start", end="gene_end")
+    """Lanes of each strand's genes, over all chromosomes on one line."""
+    return genes_.lanes(_genes(spark, d), by=["strand"], start="gene_start", end="gene_end")
+
+
+_INDELS = "select chrom, pos, case when pos % 2 = 0 then '-' else ref end as ref, alt from variants where length(alt) = 3"
+
+
+@query(
+    f"""select chrom, cast(case when gap then pos - 1 else pos end as bigint) as pos, case when gap then coalesce(base, '?') else ref end as ref, case when gap then concat(coalesce(base, '?'), alt) else alt end as alt,
+    case when gap and base is not null then 'FIXED' when not gap and base = ref then 'OK' else 'MISMATCH' end as status from (
+    select v.*, substring(c.seq, cast((v.at - 1) % {CHUNK} + 1 as int), 1) as base from (select *, ref = '-' as gap, case when ref = '-' then pos - 1 else pos end as at from ({_INDELS})) v
+    left join reference_chunks c on c.chrom = v.chrom and v.at >= 1 and c.chunk_id = (v.at - 1) // {CHUNK})""",
+    "variants",
+    "reference_chunks",
+)
+def indel_allele_check(spark, d):
+    """Insertions, half of them written with a gap, compared to the reference; gaps are written with the base before."""
+    gap = F.when(F.col("pos") % 2 == 0, "-").otherwise(F.col("ref"))
+    indels = view(spark, d, "variants").where(F.length("alt") == 3).select("chrom", "pos", gap.alias("ref"), "alt")
+    return sequences_.check_indels(indels, view(spark, d, "reference_chunks"), fix=True)
+
+
+@query(
+    f"""select vclass, status, count(*) as n from (
+    select v.*, case when length(alt) = 1 then 'SNP' else 'INDEL' end as vclass,
+      case when genome = ref then 'OK' when length(alt) = 1 and genome = alt then 'FLIPPED' when length(alt) = 1 then 'INVALID' else 'MISMATCH' end as status from (
+      select v.*, substring(c.seq, cast((v.pos - 1) % {CHUNK} + 1 as int), 1) as genome from variants v left join reference_chunks c on c.chrom = v.chrom and c.chunk_id = (v.pos - 1) // {CHUNK}) v) group by all""",
+    "variants",
+    "reference_chunks",
+)
+def variant_allele_check(spark, d):
+    """SNPs and indels, each checked by its class."""
+    found = sequences_.check_variants(view(spark, d, "variants").select("chrom", "pos", "ref", "alt"), view(spark, d, "reference_chunks"), flip=True)
+    return found.groupBy(V.vclass(F.col("ref"), F.col("alt")).alias("vclass"), "status").agg(F.count("*").alias("n"))
+
+
+@query(
+    """select gene_id, a1 <= b2 and a2 >= b1 or a1 <= b4 and a2 >= b3 or a3 <= b2 and a4 >= b1 or a3 <= b4 and a4 >= b3 as meets,
+    least(greatest(0, b1 - a2, a1 - b2), greatest(0, b3 - a2, a1 - b4), greatest(0, b1 - a4, a3 - b2), greatest(0, b3 - a4, a3 - b4)) as distance,
+    p between a1 and a2 or p between a3 and a4 as holds_point, a1 <= b1 and b2 <= a2 or a3 <= b1 and b2 <= a4 as holds_segment, a1 as region_start, a4 as region_end, a2 >= a3 as contiguous
+    from (select gene_id, gene_start as a1, gene_end as a2, gene_start + 600 as a3, gene_end + 900 as a4, gene_start + 500 as b1, gene_start + 560 as b2, gene_end + 1000 as b3, gene_end + 1200 as b4, gene_start + 590 as p from genes)""",
+    "genes",
+)
+def region_predicates(spark, d):
+    """Overlap, distance, containment and bounds of regions of two segments."""
+    start, end = F.col("gene_start"), F.col("gene_end")
+    part = lambda a, b: I.segment(F.col("chrom"), a, b)
+    rows = _genes(spark, d).select("gene_id", "chrom", F.array(part(start, end), part(start + 600, end + 900)).alias("a"), F.array(part(start + 500, start + 560), part(end + 1000, end + 1200)).alias("b"), (start + 590).alias("p"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select(
+        "gene_id",
+        I.regions_overlap(a, b).alias("meets"),
+        I.region_distance(a, b).alias("distance"),
+        I.region_contains_point(a, F.col("chrom"), F.col("p")).alias("holds_point"),
+        I.region_contains(a, F.get("b", F.lit(0))).alias("holds_segment"),
+        I.region_start(a).alias("region_start"),
+        I.region_end(a).alias("region_end"),
+        I.is_contiguous(I.merged_region(a)).alias("contiguous"),
+    )
+
+
+@query(
+    f"""select concat('chr', chrom, ':', gene_start, '-', gene_end) as uid, case when length(seq) = gene_end - gene_start + 1 then seq end as seq, 'DNA' as seq_type from (
+    select g.*, substring(concat(a.seq, coalesce(b.seq, '')), cast((gene_start - 1) % {CHUNK} + 1 as int), cast(gene_end - gene_start + 1 as int)) as seq from genes g
+    left join reference_chunks a on a.chrom = g.chrom and a.chunk_id = (gene_start - 1) // {CHUNK} left join reference_chunks b on b.chrom = g.chrom and b.chunk_id = (gene_start - 1) // {CHUNK} + 1)""",
+    "genes",
+    "reference_chunks",
+)
+def gene_region_sequences(spark, d):
+    """Bases of each gene, some of them across two chunks of the reference."""
+    regions = _genes(spark, d).select("chrom", F.col("gene_start").alias("start"), F.col("gene_end").alias("end"))
+    return sequences_.region_sequences(regions, view(spark, d, "reference_chunks")).drop("info")
+
+
+@query("select v.rs, v.chrom, v.pos, upper(v.ref) as ref, a.alt, 'SNP' as vclass from variants v, lateral (select unnest([v.alt, 'N']) as alt) a where v.rs is not null and cast(substring(v.rs, 3) as bigint) % 3 = 0", "variants")
+def variants_by_rs(spark, d):
+    """Each third site's variants by its name; each site has two alternatives."""
+    sites = view(spark, d, "variants").select(F.col("rs").alias("id"), "chrom", F.col("pos").alias("start"), F.col("pos").alias("end"), F.array("ref", "alt", F.lit("N")).alias("alleles"))
+    names = sites.where(F.substring("id", 3, 20).cast("long") % 3 == 0).select(F.col("id").alias("rs"))
+    return genes_.variants_by_rs(names, sites)
+
+
+@query("select distinct i.chrom, i.seg_start, i.seg_end from intervals i where i.seg_end >= 500000 and i.seg_start <= 500700 or i.seg_end >= 700000 and i.seg_start <= 700300", "intervals")
+def transcripts_in_region(spark, d):
+    """Intervals, as transcripts, that overlap a region of two segments on any chromosome."""
+    rows = view(spark, d, "intervals").select("chrom", F.col("seg_start").alias("start"), F.col("seg_end").alias("end"), F.format_string("%s:%d-%d", *SEG).alias("enst"))
+    chroms = rows.select("chrom").distinct()
+    both = [(500_000, 500_700), (700_000, 700_300)]
+    regions = chroms.select(F.col("chrom").alias("region_id"), "chrom", F.inline(F.array(*(F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for a, b in both))))
+    return genes_.transcripts_in(regions, rows).select("chrom", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"))
+
+
+@query(
+    """select g.gene_id, g.chrom, g.gene_start, g.gene_end, coalesce(t.n, 0) as n_transcripts, coalesce(x.n, 0) as n_exons from genes g
+    left join (select l_partkey as k, count(*) as n from lineitem where l_linenumber = 1 group by 1) t on t.k = g.gene_id
+    left join (select p.l_partkey as k, count(distinct struct_pack(a := e.l_partkey, b := e.l_linenumber, c := cast(e.l_quantity as bigint))) as n from lineitem e join lineitem p on p.l_orderkey = e.l_orderkey and p.l_linenumber = 1 group by 1) x on x.k = g.gene_id""",
+    "genes",
+)
+def nested_genes(spark, d):
+    """Genes with their transcripts and exons from one table of features: an order's first item is a transcript of its part, and all items are its exons."""
+    genes, items = _genes(spark, d), spark.read.parquet(f"{d}/lineitem.parquet")
+    nothing = lambda c: F.lit(None).cast("string").alias(c)
+    own = genes.select(F.lit("gene").alias("feature_type"), F.col("gene_id").cast("string").alias("id"), nothing("Parent"), F.col("chrom").alias("seq_region_name"), F.col("gene_start").alias("start"), F.col("gene_end").alias("end"), "strand", F.col("symbol").alias("external_name"), nothing("description"), "biotype")
+    start = (F.col("l_partkey") * 500 + F.col("l_linenumber") * 7 + 1).cast("long")
+    part = lambda kind, id_, parent: (F.lit(kind).alias("feature_type"), id_.cast("string").alias("id"), parent.cast("string").alias("Parent"), F.lit("1").alias("seq_region_name"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"), F.lit(1).alias("strand"), nothing("external_name"), nothing("description"), nothing("biotype"))
+    scripts = items.where("l_linenumber = 1").select(*part("transcript", F.concat(F.lit("T"), F.col("l_orderkey")), F.col("l_partkey")))
+    exons = items.select(*part("exon", F.concat_ws("E", "l_orderkey", "l_linenumber"), F.concat(F.lit("T"), F.col("l_orderkey"))))
+    features = own.unionByName(scripts).unionByName(exons).withColumn("assembly_name", F.lit("GRCh38"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    found = genes_.genes_of(features, "GRCh38")
+    return found.select(F.col("gene_id").cast("long").alias("gene_id"), "chrom", F.col("start").alias("gene_start"), F.col("end").alias("gene_end"), size("transcripts").alias("n_transcripts"), size("exons").alias("n_exons"))
+
+
+@query("select concat('s', doc_id % 100) as uid, arg_max(regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g'), doc_id) as seq from documents group by 1")
+def last_sequences(spark, d):
+    """Of the sequences with one id the last."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    seq = F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", "")
+    rows = docs.select(F.concat(F.lit("s"), F.col("doc_id") % 100).alias("uid"), seq.alias("seq"), F.col("doc_id").alias("ordinal"))
+    return sequences_.last_of_each(rows).select("uid", "seq")
+
+
+@query("select count(*) as n, count(distinct seq) as n_seqs from (select distinct concat('s', doc_id % 7) as uid, substring(seq, 1, 3) as seq, 'DNA' as seq_type from (select doc_id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') as seq from documents))")
+def distinct_sequences(spark, d):
+    """Sequences that differ in id, bases or type."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    seq = F.left(F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]", ""), F.lit(3))
+    rows = docs.select(F.concat(F.lit("s"), F.col("doc_id") % 7).alias("uid"), seq.alias("seq"), F.lit("DNA").alias("seq_type"), F.create_map(F.lit("i"), F.col("doc_id").cast("string")).alias("info"))
+    return sequences_.distinct_sequences(rows).agg(F.count("*").alias("n"), F.count_distinct("seq").alias("n_seqs"))

@@ -54,3 +54,35 @@ def valid_gene() -> Column:
         .when(~F.coalesce(F.col("start") < F.col("end"), F.lit(False)), "start is not before end")
         .when(F.col("strand").isNull() | F.col("xrefs").isNull(), "strand and xrefs are required")
     )
+
+
+def valid_variant() -> Column:
+    """What is wrong with a variant row, or null."""
+    missing = F.col("chrom").isNull() | F.col("pos").isNull() | F.col("ref").isNull() | F.col("alt").isNull()
+    return (
+        F.when(missing, "chrom, pos, ref and alt are required")
+        .when(~chrom_ok(F.col("chrom")), "invalid chromosome")
+        .when(~F.coalesce(F.col("rs").rlike("^rs[0-9]+$"), F.lit(True)), "rs is not an rs number")
+        .when((F.col("vclass") == "INDEL") & (F.col("ref").contains("-") | F.col("alt").contains("-")), "an indel is written with the base before it, not with a gap")
+    )
+
+
+def valid_transcript() -> Column:
+    """What is wrong with a transcript row, or null."""
+    return (
+        F.when(~F.coalesce(F.col("build").isin(*BUILDS), F.lit(False)), "unknown build")
+        .when(~chrom_ok(F.col("chrom")), "invalid chromosome")
+        .when(~F.coalesce(F.col("start") < F.col("end"), F.lit(False)), "start is not before end")
+        .when(F.col("enst").isNull(), "enst is required")
+    )
+
+
+def valid_sequence() -> Column:
+    """What is wrong with a sequence row, or null."""
+    return F.when(F.col("uid").isNull() | F.col("seq").isNull(), "uid and seq are required").when(~F.coalesce(F.col("seq_type").isin("DNA", "RNA", "AA"), F.lit(False)), "seq_type is DNA, RNA or AA")
+
+
+def validated(df, kind: str, mode: str = "PERMISSIVE"):
+    """df checked as rows of that kind: gene, transcript, variant or sequence."""
+    rules = {"gene": valid_gene, "transcript": valid_transcript, "variant": valid_variant, "sequence": valid_sequence}
+    return checked(df, rules[kind](), mode)

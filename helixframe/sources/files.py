@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.schemas import PRINCIPAL, checked, let, normalize_chrom
+from helixframe.sources.leading import body_lines
 
 _NAMED = "array<struct<_name:string,_value:string>>"
 SEQXML = (
@@ -15,7 +21,10 @@ CHUNK = 1 << 16
 
 
 def seqxml(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFrame:
-    """uid, seq (upper-cased), seq_type, info of each entry.  The last reference stands; a property without a value is "1"."""
+    """uid, seq (upper-cased), seq_type, info, ordinal of each entry.  The last reference stands; a property without a value is "1".
+
+    ordinal grows along the file, so that operators.sequences.sequence_by_id finds the last entry of an id.
+    """
     rows = spark.read.format("xml").option("rowTag", "entry").schema(SEQXML).load(path)
     kinds = (("DNAseq", "DNA"), ("RNAseq", "RNA"), ("AAseq", "AA"))
     kind = F.coalesce(*(F.when(F.col(c).isNotNull(), k) for c, k in kinds))
@@ -25,33 +34,60 @@ def seqxml(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> DataFram
     named = F.filter(F.concat(fixed, properties), lambda e: e["value"].isNotNull())
     last = let(named, lambda all_: F.filter(all_, lambda e, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda x: x["key"] == e["key"])))
     out = rows.select(F.col("_id").alias("uid"), F.upper(F.coalesce(*(c for c, _ in kinds))).alias("seq"), kind.alias("seq_type"), F.map_from_entries(last).alias("info"))
+    out = out.withColumn("ordinal", F.monotonically_increasing_id())
     return checked(out, F.when(F.col("seq").isNull(), "entry without a sequence"), mode)
 
 
 def fasta_reference(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """chrom, chunk_id, chunk_start, seq: a genome in pieces of `chunk` bases, for equi-joins.
 
-    Records are read whole (a chromosome is one), then cut.
+    Records are read whole (a chromosome is one, and one task holds it), then cut in one pass over their bytes.
     """
-    records = spark.read.option("lineSep", "\n>").text(path)
-    head = F.regexp_replace(F.substring_index("value", "\n", 1), "^>\\s*", "")
-    name = normalize_chrom(F.regexp_extract(head, "^(\\S+)", 1))
-    body = F.upper(F.regexp_replace(F.substring(F.col("value"), F.instr("value", "\n") + 1, F.length("value")), "\\s", ""))
-    rows = records.where(F.instr("value", "\n") > 0).select(name.alias("chrom"), body.alias("body")).where("body != ''")
-    ids = rows.withColumn("chunk_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length("body") - 1) / chunk))))
-    start = F.col("chunk_id") * chunk + 1
-    return ids.select("chrom", "chunk_id", start.alias("chunk_start"), F.substring(F.col("body"), start.cast("int"), F.lit(chunk)).alias("seq"))
+
+    def cut(batches):
+        for batch in batches:
+            for value in batch.column(0):
+                head, _, body = value.as_buffer().to_pybytes().partition(b"\n")
+                name = re.match(rb"(?:>\s*)?(?:chr)?(\S*)", head)[1].decode()
+                body = body.translate(None, b" \t\r\n\v\f").upper()
+                for lo in range(0, len(body), chunk * 256):
+                    at = np.arange(lo, min(len(body), lo + chunk * 256), chunk)
+                    pieces = pa.array([body[i : i + chunk] for i in at.tolist()], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at // chunk), pa.array(at + 1), pieces], ["chrom", "chunk_id", "chunk_start", "seq"])
+
+    return spark.read.option("lineSep", "\n>").text(path).mapInArrow(cut, "chrom string, chunk_id long, chunk_start long, seq string")
+
+
+def remote_reference(spans: DataFrame, fetch: Callable[[str, int, int], str | None], chunk: int = CHUNK, most: int = 10_000) -> DataFrame:
+    """The chunks of a reference that spans(chrom, start, end) ask for, from fetch(chrom, start, end), as from fasta_reference.
+
+    The service's quota is global, so the driver fetches; more than `most` chunks are an error, which says to use a file.
+    Chunk 0 of each chromosome is fetched too, as its length tells that of all.
+    """
+    spark = spans.sparkSession
+    ids = F.explode(F.array_union(F.array(F.lit(0).cast("long")), F.sequence(F.floor((F.col("start") - 1) / chunk), F.floor((F.col("end") - 1) / chunk))))
+    asked = spans.where("chrom is not null and start >= 1 and start <= end").select("chrom", ids.alias("chunk_id")).distinct().orderBy("chrom", "chunk_id").limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} chunks are asked for: use a FASTA file")
+    rows = [(r.chrom, r.chunk_id, r.chunk_id * chunk + 1, fetch(r.chrom, r.chunk_id * chunk + 1, (r.chunk_id + 1) * chunk)) for r in asked]
+    return spark.createDataFrame([r for r in rows if r[3]], "chrom string, chunk_id long, chunk_start long, seq string")
+
+
+def reference(spark: SparkSession, path: str | None, spans: DataFrame, fetch: Callable[[str, int, int], str | None], chunk: int = CHUNK) -> DataFrame:
+    """The FASTA file's chunks, or, where there is no such file, those that spans ask for from the service."""
+    if path is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return fasta_reference(spark, path, chunk)
+    return remote_reference(spans, fetch, chunk)
 
 
 def delimited(spark: SparkSession, path: str, chrom_col: int, pos_col: int, *, sep: str = "\t", skip_lines: int = 0, ignore_startswith: str | None = None) -> DataFrame:
-    """chrom, pos, fields, line of a text file with loci; lines whose position is no number go to `_error`.
+    """chrom, pos, fields, line of text files with loci; lines whose position is no number go to `_error`.
 
-    skip_lines are the file's first ones, found by their place in it.
+    skip_lines are the first ones of each file, by their place.
     """
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"))
-    if skip_lines:
-        first = [r.value for r in spark.read.text(path).limit(skip_lines).collect()]
-        rows = rows.where((F.col("_at") > 0) | ~F.col("value").isin(first))
+    rows = body_lines(spark, path, skip=skip_lines)
     if ignore_startswith:
         rows = rows.where(~F.col("value").startswith(ignore_startswith))
     r = F.split("value", F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E")))

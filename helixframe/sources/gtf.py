@@ -8,69 +8,82 @@ import re
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.errors import InvalidGTF
 from helixframe.schemas import checked, let
+from helixframe.sources.leading import body_lines, leading_lines
 
 HEADER = "gff_version int, source_version map<string,string>, date date, date_text string, type map<string,string>, sequences map<string,struct<kind:string,seq:string>>, sequence_regions map<string,struct<start:bigint,end:bigint>>"
 _FIELDS = ("gff_version", "source_version", "date", "date_text", "type", "sequences", "sequence_regions")
 _TAG = "^([A-Za-z][A-Za-z0-9_]*)[\\s=]"
 
 
-class InvalidGTF(ValueError):
-    """A header that is none, or no file at all."""
+def _pieces(field: Column) -> Column:
+    """The trimmed pieces between semicolons; empty ones go."""
+    return F.transform(F.filter(F.split(F.trim(field), ";"), lambda p: p != ""), lambda p: F.trim(p))
 
 
-def attributes(field: Column) -> Column:
-    """The ninth field as a map; of a tag given twice the last value stays; null if it is empty."""
-    pieces = F.filter(F.split(F.trim(field), ";"), lambda p: p != "")
+def _pairs(pieces: Column) -> Column:
+    """The pieces as a map; of a tag given twice the last value stays."""
     pair = lambda p: F.struct(F.regexp_extract(p, _TAG, 1).alias("key"), F.replace(F.regexp_replace(F.regexp_replace(p, _TAG, ""), "^[= \t]+|[= \t]+$", ""), F.lit('"'), F.lit("")).alias("value"))
-    pairs = F.transform(F.transform(pieces, lambda p: F.trim(p)), pair)
     last = lambda all_: F.filter(all_, lambda p, i: ~F.exists(F.slice(all_, i + 2, F.size(all_)), lambda q: q["key"] == p["key"]))
-    return F.when(F.length(F.trim(field)) > 0, F.map_from_entries(let(pairs, last)))
+    return F.map_from_entries(let(F.transform(pieces, pair), last))
 
 
-def _bad_tag(field: Column) -> Column:
-    pieces = F.transform(F.filter(F.split(F.trim(field), ";"), lambda p: p != ""), lambda p: F.trim(p))
-    return F.exists(pieces, lambda p: ~p.rlike(_TAG))
+def attributes(field: Column) -> Column:
+    """The ninth field as a map; of a tag given twice the last value stays; null if it is empty."""
+    return F.when(F.length(F.trim(field)) > 0, _pairs(_pieces(field)))
+
+
+def _record(text: Column, r: Column) -> Column:
+    """What a line's text and its fields r hold, and what is wrong with it."""
+    rest = F.array_join(F.slice(r, 9, F.greatest(F.size(r) - 8, F.lit(0))), " ")
+    dot = lambda i: F.nullif(F.get(r, F.lit(i)), F.lit("."))
+    start, end = (F.get(r, F.lit(i)).try_cast("long") for i in (3, 4))
+    score, strand, frame = dot(5).try_cast("double"), dot(6), dot(7)
+
+    def whole(pieces: Column) -> Column:
+        bad = F.exists(pieces, lambda p: ~p.rlike(_TAG))
+        error = (
+            F.when(text.startswith("#"), "comment among the body lines")
+            .when(F.size(r) < 8, F.concat(F.lit("fewer than 8 fields: "), F.left(text, F.lit(60))))
+            .when(start.isNull() | end.isNull(), "start or end is not a number")
+            .when((start > end) | (start < 1), "start is after end, or under 1")
+            .when(score.isNull() & (F.get(r, F.lit(5)) != "."), "score is not a number")
+            .when(~F.coalesce(strand.isin("+", "-"), F.lit(True)), "strand is not +, - or .")
+            .when(~F.coalesce(frame.isin("0", "1", "2"), F.lit(True)), "frame is not 0, 1, 2 or .")
+            .when(bad, "attribute without a tag")
+        )
+        return F.struct(
+            F.regexp_replace(F.get(r, F.lit(0)), "^chr", "").alias("seqname"),
+            F.get(r, F.lit(1)).alias("source"),
+            F.get(r, F.lit(2)).alias("features"),
+            start.alias("start"),
+            end.alias("end"),
+            score.alias("score"),
+            strand.alias("strand"),
+            frame.alias("frame"),
+            F.when(~bad & (F.length(F.trim(rest)) > 0), pieces).alias("pieces"),
+            error.alias("error"),
+        )
+
+    return let(_pieces(rest), whole)
 
 
 def parse(lines: DataFrame, line: str = "value", mode: str = "PERMISSIVE") -> DataFrame:
-    """seqname, source, features, start, end, score, strand, frame, attributes of body lines, batch or stream."""
+    """seqname, source, features, start, end, score, strand, frame, attributes of body lines, batch or stream.
+
+    A line is split once; its attributes become a map only if they are asked for.
+    """
     text = F.regexp_replace(F.rtrim(F.col(line)), "^chr", "")
-    r = F.split(text, "\t")
-    rows = lines.select(text.alias("_line"), r.alias("r"))
-    dot = lambda i: F.nullif(F.get("r", F.lit(i)), F.lit("."))
-    rest = F.array_join(F.slice("r", 9, F.greatest(F.size("r") - 8, F.lit(0))), " ")
-    rows = rows.select(
-        "_line",
-        "r",
-        rest.alias("_rest"),
-        F.regexp_replace(F.get("r", F.lit(0)), "^chr", "").alias("seqname"),
-        F.get("r", F.lit(1)).alias("source"),
-        F.get("r", F.lit(2)).alias("features"),
-        F.get("r", F.lit(3)).try_cast("long").alias("start"),
-        F.get("r", F.lit(4)).try_cast("long").alias("end"),
-        dot(5).try_cast("double").alias("score"),
-        dot(6).alias("strand"),
-        dot(7).alias("frame"),
-    )
-    bad = F.coalesce(_bad_tag(F.col("_rest")), F.lit(False))
-    error = (
-        F.when(F.col("_line").startswith("#"), "comment among the body lines")
-        .when(F.size("r") < 8, F.concat(F.lit("fewer than 8 fields: "), F.left("_line", F.lit(60))))
-        .when(F.col("start").isNull() | F.col("end").isNull(), "start or end is not a number")
-        .when((F.col("start") > F.col("end")) | (F.col("start") < 1), "start is after end, or under 1")
-        .when(F.col("score").isNull() & (F.get("r", F.lit(5)) != "."), "score is not a number")
-        .when(~F.coalesce(F.col("strand").isin("+", "-"), F.lit(True)), "strand is not +, - or .")
-        .when(~F.coalesce(F.col("frame").isin("0", "1", "2"), F.lit(True)), "frame is not 0, 1, 2 or .")
-        .when(bad, "attribute without a tag")
-    )
-    rows = rows.withColumn("attributes", F.when(~bad, attributes(F.col("_rest"))))
-    return checked(rows, error, mode).drop("_line", "r", "_rest")
+    record = let(text, lambda t: let(F.split(t, "\t"), lambda r: _record(t, r)))
+    rows = lines.select(record.alias("record")).select("record.*")
+    rows = rows.withColumn("attributes", _pairs(F.col("pieces")))
+    return checked(rows, F.col("error"), mode).drop("pieces", "error")
 
 
 def read(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    """Body rows.  Lines that start with # are skipped wherever they stand; .gz is decoded by its codec."""
-    return parse(spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0)), mode=mode)
+    """Body rows of one file or many.  Lines that start with # are skipped at the head of a file; later ones are wrong.  .gz is decoded by its codec."""
+    return parse(body_lines(spark, path, comment="#").where(F.length("value") > 0), mode=mode)
 
 
 read_gff = read
@@ -117,16 +130,9 @@ def header(lines: list[str]) -> dict:
     return out
 
 
-def read_header(spark: SparkSession, path: str, most: int = 10_000) -> DataFrame:
-    """One row of metadata from the leading # lines (`most` at most; more are an error).  A ##Type without a name is filed under ''."""
-    lines, first = [], True
-    for row in spark.read.text(path).limit(most + 1).toLocalIterator():
-        first = False
-        if not row.value.startswith("#"):
-            break
-        lines.append(row.value)
-    if first:
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """One row of metadata from a file's leading # lines.  A ##Type without a name is filed under ''."""
+    lines = leading_lines(spark, path, "#")
+    if lines is None:
         raise InvalidGTF(f"{path} is empty")
-    if len(lines) > most:
-        raise InvalidGTF(f"{path} has more than {most} header lines")
     return spark.createDataFrame([Row(**header(lines))], HEADER)

@@ -2,12 +2,15 @@ import gzip
 
 import pytest
 
-from helixframe.remote.services import Client, url_prefix, xrefs
+from helixframe import settings
+from helixframe.operators import genes, sequences
+from helixframe.remote.services import Client, annotations, reference_bases, url_prefix, xrefs
 from helixframe.sinks import tables
 from helixframe.sources import files, gtf, impute2
-from helixframe.streaming.lines import stream_dosages
+from helixframe.sources.leading import body_lines
+from helixframe.streaming.lines import stream_dosages, stream_gtf
 
-LINES = "1 rs12345 1231415 A G 1 0 0 0.988 0.002 0 0 0.997 0.003\n1 rs23456 3214569 T C 0.869 0.130 0 0.903 0.095 0.002 0 0 1\n"
+LINES = "7 m1 4100 A G 1 0 0 0.98 0.02 0 0 0.9375 0.0625\n7 m2 8200 T C 0.75 0.25 0 0.9375 0.0625 0 0 0 1\n"
 
 
 def test_impute2(spark, tmp_path):
@@ -15,9 +18,9 @@ def test_impute2(spark, tmp_path):
     path = tmp_path / "a" / "x.impute2.gz"
     path.write_bytes(gzip.compress(LINES.encode()))
     rows = impute2.read(spark, str(path)).orderBy("pos").collect()
-    assert [(r.name, r.chrom, r.pos, len(r.probabilities)) for r in rows] == [("rs12345", "1", 1231415, 3), ("rs23456", "1", 3214569, 3)]
+    assert [(r.name, r.chrom, r.pos, len(r.probabilities)) for r in rows] == [("m1", "7", 4100, 3), ("m2", "7", 8200, 3)]
     d = impute2.read(spark, str(path), "dosage", prob_threshold=0.9).orderBy("pos").collect()
-    assert d[1].dosage[0] is None and d[1].maf == pytest.approx(2.099 / 4) or d[1].major == "C"
+    assert d[1].dosage[0] is None and d[1].major == "C" and d[1].maf == pytest.approx(1 - 2.0625 / 4)
     calls = impute2.read(spark, str(path), "hard_call", prob_threshold=0.9).orderBy("pos").collect()
     assert calls[1].calls == ["0 0", "T T", "C C"]
     for mode, options in (("line", {"prob_threshold": 0.9}), ("hard_call", {"is_chr23": True}), ("nothing", {})):
@@ -29,21 +32,21 @@ def test_impute2(spark, tmp_path):
     stream = stream_dosages(spark, str(tmp_path / "a")).writeStream.format("memory").queryName("dosages").trigger(availableNow=True).start()
     stream.awaitTermination()
     assert spark.table("dosages").count() == 2
-    wide = tables.wide_matrix(impute2.read(spark, str(path), "dosage"), ["rs12345", "rs23456"]).orderBy("sample").collect()
-    assert [r.rs12345 for r in wide] == pytest.approx([0, 0.002, 1.003])
+    wide = tables.wide_matrix(impute2.read(spark, str(path), "dosage"), ["m1", "m2"]).orderBy("sample").collect()
+    assert [r.m1 for r in wide] == pytest.approx([0, 0.02, 1.0625])
 
 
 GFF = """##gff-version 3
-##source-version myProgram v1.2
-##date 2015-12-29
-##Type DNA a
-##DNA myseq
-##acgt
-##acg
+##source-version drawer v0.7
+##date 2021-03-04
+##Type RNA toy
+##DNA piece
+##ttg
+##cat
 ##end-DNA
-##sequence-region O60503 1 1353
-O60503\tUniProtKB\tChain\t1\t1353\t.\t.\t.\tID=PRO_1;Note=Adenylate cyclase type 9;
-chrO60503\tUniProtKB\tTransmembrane\t118\t138\t1.5\t+\t0\tNote "Helical"; evidence "a"; evidence "b"
+##sequence-region K77 4 912
+K77\thand\tPart\t4\t912\t.\t.\t.\tID=one;Note=first of all;
+chrK77\thand\tStem\t40\t61\t2.25\t-\t1\tNote "bent"; seen "a"; seen "c"
 """
 
 
@@ -51,21 +54,42 @@ def test_gtf(spark, tmp_path):
     path = tmp_path / "x.gff"
     path.write_text(GFF)
     rows = gtf.read(spark, str(path)).orderBy("start").collect()
-    assert rows[0].attributes == {"ID": "PRO_1", "Note": "Adenylate cyclase type 9"} and rows[0].score is None and rows[0].frame is None
-    assert rows[1].seqname == "O60503" and rows[1].attributes == {"Note": "Helical", "evidence": "b"} and rows[1].frame == "0" and rows[1].score == 1.5
+    assert rows[0].attributes == {"ID": "one", "Note": "first of all"} and rows[0].score is None and rows[0].frame is None
+    assert rows[1].seqname == "K77" and rows[1].attributes == {"Note": "bent", "seen": "c"} and rows[1].frame == "1" and rows[1].score == 2.25
     head = gtf.read_header(spark, str(path)).first()
-    assert head.gff_version == 3 and head.source_version == {"myProgram": "v1.2"} and str(head.date) == "2015-12-29" and head.type == {"a": "DNA"}
-    assert head.sequences["myseq"]["seq"] == "ACGTACG" and tuple(head.sequence_regions["O60503"]) == (1, 1353)
+    assert head.gff_version == 3 and head.source_version == {"drawer": "v0.7"} and str(head.date) == "2021-03-04" and head.type == {"toy": "RNA"}
+    assert head.sequences["piece"]["seq"] == "TTGCAT" and tuple(head.sequence_regions["K77"]) == (4, 912)
     bad = ["#x", "a\tb", "1\ts\tf\t9\t3\t.\t.\t.", "1\ts\tf\t1\t3\tx\t.\t.", "1\ts\tf\t1\t3\t.\t?\t.", "1\ts\tf\t1\t3\t.\t.\t7", "1\ts\tf\t1\t3\t.\t.\t.\t9=1"]
     errors = gtf.parse(spark.createDataFrame([(b,) for b in bad], "value string")).collect()
     assert all(r._error for r in errors)
     with pytest.raises(Exception):  # noqa: B017
         gtf.parse(spark.createDataFrame([(bad[1],)], "value string"), mode="FAILFAST").collect()
+    path.write_text(GFF + "# late\n")
+    with pytest.raises(Exception, match="comment"):
+        gtf.read(spark, str(path)).collect()
+    assert gtf.read(spark, str(path), "DROPMALFORMED").count() == 2
     with pytest.raises(gtf.InvalidGTF):
         gtf.header(["##RNA x", "##acg"])
     (tmp_path / "empty").write_text("")
     with pytest.raises(gtf.InvalidGTF):
         gtf.read_header(spark, str(tmp_path / "empty"))
+    (tmp_path / "long").write_text("##DNA long\n" + "##acgt\n" * 30_000 + "##end-DNA\n" + GFF)
+    assert len(gtf.read_header(spark, str(tmp_path / "long")).first().sequences["long"]["seq"]) == 120_000
+
+
+def test_gtf_plan_splits_a_line_once(spark):
+    lines = spark.createDataFrame([("1\ts\tf\t1\t3\t.\t.\t.",)], "value string")
+    for mode in ("PERMISSIVE", "FAILFAST"):
+        plan = gtf.parse(lines, mode=mode)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(namedlambdavariable()") + plan.count("split(lambda") <= 6, plan
+
+
+def test_gtf_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.gtf").write_text("# head\n1\ts\tf\t1\t3\t.\t.\t.\tid 1\n")
+    query = stream_gtf(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("features").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [r.attributes for r in spark.table("features").collect()] == [{"id": "1"}]
 
 
 SEQXML = """<?xml version="1.0"?><seqXML><entry id="a" source="s"><species name="Homo sapiens" ncbiTaxID="9606"/><description>d</description><DNAseq>acgt</DNAseq>
@@ -80,9 +104,57 @@ def test_other_files(spark, tmp_path):
     (tmp_path / "g.fa").write_text(">chr22 test\nacgt\nacgta\n>X\nTT\n")
     got = [tuple(r) for r in files.fasta_reference(spark, str(tmp_path / "g.fa"), chunk=4).orderBy("chrom", "chunk_id").collect()]
     assert got == [("22", 0, 1, "ACGT"), ("22", 1, 5, "ACGT"), ("22", 2, 9, "A"), ("X", 0, 1, "TT")]
-    (tmp_path / "l.txt").write_text("head\n#c\nchr1|5|a\nX|x|b\n")
-    rows = files.delimited(spark, str(tmp_path / "l.txt"), 0, 1, sep="|", skip_lines=1, ignore_startswith="#").collect()
-    assert [(r.chrom, r.pos, r._error is None) for r in rows] == [("1", 5, True), ("X", None, False)]
+    again = SEQXML.replace("acgt", "tt").replace('"b"', '"a"')
+    (tmp_path / "t.xml").write_text(again)
+    found = sequences.sequence_by_id(files.seqxml(spark, str(tmp_path / "t.xml"), "DROPMALFORMED"), "a").collect()
+    assert [r.seq for r in found] == ["TT"] and sequences.sequence_by_id(files.seqxml(spark, str(tmp_path / "t.xml")), "q").count() == 0
+    for name in ("one", "two"):
+        (tmp_path / "loci").mkdir(exist_ok=True)
+        (tmp_path / "loci" / name).write_text("1|5|x\n#c\n1|5|x\nchr2|6|y\nX|x|b\n")
+    rows = files.delimited(spark, str(tmp_path / "loci"), 0, 1, sep="|", skip_lines=1, ignore_startswith="#").collect()
+    assert sorted((r.chrom, r.pos, r._error is None) for r in rows if r.pos) == [("1", 5, True)] * 2 + [("2", 6, True)] * 2
+    assert sum(r._error is not None for r in rows) == 2 and len(rows) == 6
+    (tmp_path / "iso.txt").write_text("S\tg\tt1\tc\tappris_principal\nS\tg\tt2\tc\tappris_candidate\n")
+    table = files.principal_isoforms(spark, str(tmp_path / "iso.txt"))
+    assert sorted(r.category for r in genes.isoforms_of(table, "g").collect()) == ["appris_candidate", "appris_principal"]
+    assert genes.category_of(table, "t1").first().category == "appris_principal" and genes.category_of(table, "t9").count() == 0
+
+
+def test_leading_lines_within_the_first_split(spark, tmp_path):
+    (tmp_path / "x").write_text("".join(f"{i}\n" for i in range(2000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 1000)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        rows = body_lines(spark, str(tmp_path / "x"), skip=3)
+        assert rows.rdd.getNumPartitions() > 3 and sorted(int(r.value) for r in rows.collect()) == list(range(3, 2000))
+        with pytest.raises(Exception, match="first split"):
+            body_lines(spark, str(tmp_path / "x"), skip=1500).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def test_reference_from_file_or_service(spark, tmp_path):
+    genome = {"22": "ACGTTGCAAC", "X": "TTT"}
+    (tmp_path / "g.fa").write_text("".join(f">chr{c}\n{s[:4]}\n{s[4:]}\n" for c, s in genome.items()))
+    asked = []
+
+    def fetch(chrom, start, end):
+        asked.append((chrom, start, end))
+        return genome.get(chrom, "")[start - 1 : end]
+
+    spans = spark.createDataFrame([("22", 6, 9), ("X", 2, 2), ("9", 1, 2), (None, 1, 1)], "chrom string, start long, end long")
+    for path in (str(tmp_path / "g.fa"), str(tmp_path / "none.fa"), None):
+        chunks = files.reference(spark, path, spans, fetch, chunk=4)
+        got = {r.chrom: r.seq for r in sequences.with_reference(spans, chunks, out="seq").where("chrom is not null").collect()}
+        assert got == {"22": "GCAA", "X": "T", "9": None} and bool(asked) == (path is None or "none" in path)
+    with pytest.raises(ValueError, match="chunks"):
+        files.remote_reference(spans, fetch, chunk=1, most=3)
+
+
+def test_browser(spark):
     with pytest.raises(ValueError):
         files.genome_browser(spark, "hg19", "select 1", url="jdbc:x")
 
@@ -121,7 +193,23 @@ def test_services():
     assert xrefs("symbol", "S", client)["ensembl_gene_id"] == "E"
     answers[:] = [ok({"response": {"numFound": 0}}), ok([{"dbname": "EntrezGene", "primary_id": "7"}])]
     assert xrefs("ensembl_gene_id", "E", client) == {"ensembl_gene_id": "E", "entrez_id": "7"}
+    answers[:] = [ok({"seq": "acg"}), ok({"MAF": "0.25", "evidence": ["A", "B"], "most_severe_consequence": "c"}), (404, {}, b"")]
+    assert reference_bases("1", 5, 7, client, "GRCh38") == "ACG"
+    assert annotations("rs9", client, "GRCh38") == {"maf": 0.25, "evidence": "A,B", "most_severe_consequence": "c"}
+    assert annotations("rs9", client, "GRCh38")["maf"] is None
     with pytest.raises(ValueError):
         url_prefix("hg17")
     with pytest.raises(ValueError):
         xrefs("nothing", "x", client)
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "s.ini").write_text("[helixframe]\nreference_fasta = /data/g.fa\nbuild = GRCh37\n")
+    assert settings.load(tmp_path / "s.ini") == settings.Settings("/data/g.fa", "GRCh37", None)
+    assert settings.load(tmp_path / "none.ini") == settings.Settings()
+    spark.conf.set("spark.helixframe.build", "GRCh38")
+    assert settings.load(tmp_path / "s.ini", spark).build == "GRCh38"
+    spark.conf.unset("spark.helixframe.build")
+    (tmp_path / "s.ini").write_text("[helixframe]\nwrong = 1\n")
+    with pytest.raises(KeyError):
+        settings.load(tmp_path / "s.ini")
