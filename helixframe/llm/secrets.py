@@ -1,31 +1,38 @@
 """Secret scans: patterns, and guess costs of values in credential contexts.
 
-The patterns assign, access and hex give the base spans.  `guess` adds values that stand where a credential is
-named, and that base spans do not hold, if guessing them would take 10 ** MIN_COST tries or more.  The cost
-of a value is that of its cheapest segmentation, by dynamic programming, into common words (of passwords and of prose, in any
-case, letters replaced or not), dates, repeats, runs of neighbouring characters, keyboard walks, and
-brute force.  A scheme (Bearer, Basic ...) may stand before the value; where a value is rejected the search goes on inside it.
+The patterns assign, access and hex give the base spans.  `guess` adds each value that stands where a credential is
+named, whether a base span holds it or not, if guessing it would take 10 ** MIN_COST tries or more.  The cost
+of a value is that of its cheapest segmentation, by dynamic programming, into common words (in any case, letters replaced or not),
+dates, repeats, runs of neighbouring characters, keyboard walks, and brute force; it is the least over all segmentations, whatever the value's length.
+A scheme (Bearer, Basic ...) may stand before the value; where a value is rejected the search goes on inside it.
+
+Words are ranked by how often the documents have them outside of such values, so prose is cheap in the corpus's own languages.
 
 Defined results: null and empty texts have no spans; spans are in code points, end exclusive; equal starts
-are ordered as KINDS; repeated rows each get their own row.
+are ordered as KINDS; repeated rows each get their own row, and count as often as they stand when words are ranked; no rows give no rows;
+a result whose name is taken among the kept columns gets leading underscores.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 import re
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.prose_words import PROSE
+from helixframe.llm import kernels as K
 from helixframe.llm.shared import per_text
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_COST = 10.0
+#: Words that are ranked, and letters of the shortest and longest.
+MOST_WORDS, SHORTEST, LONGEST = 20_000, 3, 24
 
 # The patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -46,8 +53,6 @@ company office home work spring summer autumn winter january february march apri
 september october november december monday tuesday wednesday thursday friday saturday sunday apple orange banana
 cookie coffee pepper ginger flower tiger eagle falcon london paris berlin madrid the and for you your none null
 true false redacted hidden removed insert here enter value string""".split()
-_RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *PROSE]))}
-_LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("4310$57@!", "aeiosstai")
 
 # The rows of a keyboard; a key's neighbours stand beside it and half a key off in the rows above and below.
@@ -62,7 +67,14 @@ def _near(a: str, b: str) -> bool:
 
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:0[1-9]|1[0-2])([-/._]?)(?:0[1-9]|[12]\d|3[01])\3(?:19|20)\d\d")
 _YEAR = re.compile(r"(?:19|20)\d\d")
-_REACH = 64
+
+
+class Dictionary:
+    """Ranks of words from 1, the common words of passwords first."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        self.rank = {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+        self.longest = max(map(len, self.rank))
 
 
 def _runs(value: str, follows) -> list[int]:
@@ -75,136 +87,236 @@ def _runs(value: str, follows) -> list[int]:
     return end
 
 
+def _repeats(value: str) -> dict[int, list[tuple[int, int]]]:
+    """For each place the units that are repeated there, and how often: of units that are repeats themselves the shortest only."""
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, out, known = len(codes), {}, {}
+    for u in range(1, n // 2 + 1):
+        same = codes[:-u] == codes[u:]
+        if np.count_nonzero(same) < u:
+            continue
+        stop = np.append(np.flatnonzero(~same), len(same))
+        agree = stop[np.searchsorted(stop, np.arange(len(same)))] - np.arange(len(same))  # how long value[i:] agrees with itself u later
+        own = agree >= u
+        for d, (reach, of_d) in known.items():
+            if u % d == 0:
+                own &= ~(of_d[: len(own)] & (reach[: len(own)] + d >= agree + u))
+        if own.any():
+            known[u] = (agree, own)
+            for i in np.flatnonzero(own).tolist():
+                out.setdefault(i, []).append((u, int(agree[i]) // u + 1))
+    return out
+
+
 def _alphabet(value: str) -> int:
     """How many characters there are of the classes that the value has."""
     return max(10, 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value)) + 10 * bool(re.search("[0-9]", value)) + 33 * bool(re.search("[^A-Za-z0-9]", value)))
 
 
-def cost(value: str) -> float:
+def cost(value: str, words: Dictionary | None = None) -> float:
     """log10 of the tries of the cheapest segmentation."""
-    return _costs(value, _alphabet(value))[0]
+    return _costs(value, _alphabet(value), words or Dictionary())[0]
+
+
+#: log10 of the tries: a keyboard walk's first key and each step of it; a year; a date; a word with letters replaced, or with capitals.
+WALK, STEP, YEAR, DATE, REPLACED, CAPITALS = math.log10(47), 0.35, math.log10(200), math.log10(365 * 120), 0.5, 0.3
+
+
+def word_cost(part: str, words: Dictionary) -> float:
+    low, found = part.lower(), math.inf
+    for form, more in ((low, 0.0), (low.translate(_LEET), REPLACED)):
+        if rank := words.rank.get(form):
+            found = min(found, math.log10(rank + 1) + more + CAPITALS * (part != low))
+    return found
 
 
-def _costs(value: str, alphabet: int) -> list[float]:
+def _costs(value: str, alphabet: int, words: Dictionary) -> list[float]:
     """For each place the cost of the value from there on."""
     n, low = len(value), value.lower()
-    plain = low.translate(_LEET)
+    if len(low) != n:  # a few capitals become two letters
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     brute = math.log10(alphabet)
     up, down = _runs(low, lambda a, b: ord(b) == ord(a) + 1), _runs(low, lambda a, b: ord(b) == ord(a) - 1)
     walk = _runs(low, _near)
-    same = {u: [0] * (n + 1) for u in range(1, min(16, n // 2) + 1)}  # how long value[i:] agrees with itself u later
-    for u, s in same.items():
-        for i in range(n - u - 1, -1, -1):
-            s[i] = s[i + 1] + 1 if value[i] == value[i + u] else 0
-    best = [math.inf] * n + [0.0]
-
-    def stretch(i: int, end: int, least: int, price) -> None:
-        """Segments from i to each end within reach, and to the last one."""
-        for j in {*range(i + least, min(end, i + _REACH) + 1), *((end,) if end >= i + least else ())}:
-            to(j, price(j - i))
-
+    repeats = _repeats(value)
+    logs = np.log10(np.arange(1, n + 2))
+    best = np.append(np.full(n, math.inf), 0.0)
+    going = np.full(n + 1, math.inf)  # the cost from a place within a walk that goes on there
     for i in range(n - 1, -1, -1):
-
-        def to(j: int, c: float) -> None:
-            if c + best[j] < best[i]:
-                best[i] = c + best[j]
-
-        to(i + 1, brute)
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            for form, more in ((low, 0.0), (plain, 0.5)):
-                if rank := _RANK.get(form[i:j]):
-                    to(j, math.log10(rank + 1) + more + 0.3 * (value[i:j] != low[i:j]))
+        least = brute + best[i + 1]
+        for j in range(i + SHORTEST, min(n, i + words.longest) + 1):
+            least = min(least, word_cost(value[i:j], words) + best[j])
         if m := _DATE.match(value, i):
-            to(m.end(), math.log10(365 * 120))
+            least = min(least, DATE + best[m.end()])
         if m := _YEAR.match(value, i):
-            to(m.end(), math.log10(200))
+            least = min(least, YEAR + best[m.end()])
         for end in (up[i], down[i]):
-            stretch(i, end, 3, lambda k: 1.0 + math.log10(k))
-        stretch(i, walk[i], 3, lambda k: math.log10(47) + 0.35 * (k - 1))
-        for u, s in same.items():
-            if s[i] >= u:
-                unit = min(u * brute, math.log10(_RANK.get(low[i : i + u], 0) + 1) if low[i : i + u] in _RANK else math.inf)
-                for k in {*range(2, min(s[i] // u + 1, _REACH) + 1), s[i] // u + 1}:
-                    to(i + u * k, unit + math.log10(k))
-    return best
-
-
-def _held_cost(value: str, start: int, held: dict) -> float:
+            if end >= i + 3:
+                least = min(least, 1.0 + (best[i + 3 : end + 1] + logs[2 : end - i]).min())
+        if walk[i] >= i + 2:
+            going[i] = STEP + min(best[i + 2], going[i + 1])
+            if walk[i] >= i + 3:
+                least = min(least, WALK + STEP + going[i + 1])
+        for u, times in repeats.get(i, ()):
+            unit = min(u * brute, word_cost(value[i : i + u], words))
+            least = min(least, unit + (best[i + 2 * u : i + times * u + 1 : u] + logs[1:times]).min())
+        best[i] = least
+    return best.tolist()
+
+
+def _held_cost(value: str, start: int, held: dict, words: Dictionary) -> float:
     """cost(value), where values that start inside an earlier one and end with it share its segmentation."""
     key = start + len(value), _alphabet(value)
     if key not in held:
-        held[key] = start, _costs(value, key[1])
+        held[key] = start, _costs(value, key[1], words)
     first, costs = held[key]
     return costs[start - first]
 
 
-def spans(text: str, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by start, then kind."""
+def _values(text: str):
+    """Start and end of each value in a credential context; send True to go on after it, else the search goes on inside it."""
     low = text.lower()
-    found = []
+    if any(w in low for w in _HINTS):
+        at = 0
+        while m := CONTEXT.search(text, at):
+            taken = yield m.start(1), m.start(1) + len(m.group(1).rstrip(".:!?"))
+            at = m.end() if taken else m.start(1)
+
+
+def guesses(text: str, words: Dictionary, min_cost: float = MIN_COST) -> tuple[list[tuple[int, int]], float]:
+    """Start and end of each value of min_cost or more, and the largest cost of any value (0 without one)."""
+    found, most, held = [], 0.0, {}
+    values = _values(text)
+    span = next(values, None)
+    while span is not None:
+        a, b = span
+        own = _held_cost(text[a:b], a, held, words) if b - a >= 6 else 0.0
+        most = max(most, own)
+        if own >= min_cost:
+            found.append(span)
+        try:
+            span = values.send(own >= min_cost)
+        except StopIteration:
+            break
+    return found, most
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    low, found = text.lower(), []
     if any(w in low for w in ("passw", "secret", "token", "api")):
         found += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    found.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-    if any(w in low for w in _HINTS):
-        begins, upto, most = [s[1] for s in found], [], 0
-        for s in found:
-            most = max(most, s[2])
-            upto.append(most)
-        added = []
-        at, held = 0, {}
-        while m := CONTEXT.search(text, at):
-            value = m.group(1).rstrip(".:!?")
-            a, b = m.start(1), m.start(1) + len(value)
-            k = bisect.bisect_right(begins, a)
-            at = m.end()
-            if k and upto[k - 1] >= b:
-                continue
-            if len(value) >= 6 and _held_cost(value, a, held) >= min_cost:
-                added.append(("guess", a, b))
-            else:
-                at = a
-        found = sorted(found + added, key=lambda s: (s[1], KINDS.index(s[0])))
-    return found
+    return found + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
+
+
+def spans(text: str, words: Dictionary | None = None, min_cost: float = MIN_COST) -> list[tuple[str, int, int]]:
+    """(kind, start, end) by start, then kind."""
+    found = base_spans(text) + [("guess", a, b) for a, b in guesses(text, words or Dictionary(), min_cost)[0]]
+    return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 def joined(found: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in found)
 
 
-FOUND = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])
+FOUND = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType()), T.StructField("max_cost", T.DoubleType())])
+
+
+def learned_words(docs: DataFrame, *, text: str = "text", most: int = MOST_WORDS) -> list[str]:
+    """The most frequent runs of SHORTEST to LONGEST letters a-z, lower-cased, over all texts without their values in credential contexts.
+
+    Counted within each task, and again after a shuffle; the driver gets `most` words.
+    """
+    letter = np.zeros(256, bool)
+    letter[97:123] = True
+
+    def count(batches):
+        held: dict[bytes, int] = {}
+
+        def rows():
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
+        for batch in batches:
+            for lo, hi in K.steps(batch.column(0)):
+                texts = [_without_values(t) for t in batch.column(0).slice(lo, hi - lo).to_pylist() if t]
+                buf, at = K.utf8(pa.array(texts, pa.string()))
+                buf = K.LOWER[buf]
+                starts, ends, _ = K.word_spans(buf, at, letter)
+                some = (ends - starts >= SHORTEST) & (ends - starts <= LONGEST)
+                starts, ends = starts[some], ends[some]
+                _, first, n = np.unique(K.hash_spans(buf, starts, ends), return_index=True, return_counts=True)
+                raw = buf.tobytes()
+                for a, b, c in zip(starts[first].tolist(), ends[first].tolist(), n.tolist(), strict=True):
+                    held[raw[a:b]] = held.get(raw[a:b], 0) + c
+            if len(held) > 500_000:
+                yield from rows()
+                held.clear()
+        yield from rows()
 
-def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, min_cost: float = MIN_COST) -> DataFrame:
-    """Columns `keep` with the number of spans of each kind, the hash of the base spans, and all spans."""
+    counts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def _without_values(text: str) -> str:
+    out, at = [], 0
+    values = _values(text)
+    span = next(values, None)
+    while span is not None:
+        if span[0] >= at:
+            out += [text[at : span[0]], " "]
+        at = max(at, span[1])
+        try:
+            span = values.send(False)
+        except StopIteration:
+            break
+    return "".join([*out, text[at:]]) if out else text
+
+
+def scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, min_cost: float = MIN_COST, words: Iterable[str] | None = None) -> DataFrame:
+    """Columns `keep` with the number of spans of each kind, the hash of the base spans, all spans, and the largest cost of a value.
+
+    words: by rank; without them they are learned from docs.
+    """
+    words = learned_words(docs, text=text) if words is None else list(words)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def make():
+        known = Dictionary(shared.value)
+
+        def one(t: str):
+            added, most = guesses(t, known, min_cost)
+            base = sorted(base_spans(t), key=lambda s: (s[1], KINDS.index(s[0])))
+            every = sorted(base + [("guess", a, b) for a, b in added], key=lambda s: (s[1], KINDS.index(s[0])))
+            return every, hashlib.sha256(joined(base).encode()).hexdigest(), most
+
         def work(texts: pa.Array, _):
-            each = [spans(t or "", min_cost) for t in texts.to_pylist()]
-            counts = [pa.array([sum(s[0] == k for s in f) for f in each], pa.int64()) for k in KINDS]
-            base = [hashlib.sha256(joined([s for s in f if s[0] != "guess"]).encode()).hexdigest() for f in each]
-            return [*counts, pa.array(base, pa.string()), pa.array([joined(f) for f in each], pa.string())]
+            each = [one(t or "") for t in texts.to_pylist()]
+            counts = [pa.array([sum(s[0] == k for s in f) for f, _, _ in each], pa.int64()) for k in KINDS]
+            return [*counts, pa.array([b for _, b, _ in each], pa.string()), pa.array([joined(f) for f, _, _ in each], pa.string()), pa.array([m for _, _, m in each], pa.float64())]
 
         return work
 
     return per_text(docs, make, FOUND, text=text, keep=keep)
 
 
-def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", min_cost: float = MIN_COST) -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", mark: str = "[secret]", min_cost: float = MIN_COST, words: Iterable[str] | None = None) -> DataFrame:
     """docs with each stretch that spans cover replaced by `mark`; a null text stays null."""
     kept = [c for c in docs.columns if c != text]
-
-    def cut(t: str) -> str:
-        out, at = [], 0
-        for _, a, b in spans(t, min_cost):
-            if a >= at:
-                out += [t[at:a], mark]
-            at = max(at, b)
-        return "".join([*out, t[at:]])
+    words = learned_words(docs, text=text) if words is None else list(words)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def make():
+        known = Dictionary(shared.value)
+
+        def cut(t: str) -> str:
+            out, at = [], 0
+            for _, a, b in spans(t, known, min_cost):
+                if a >= at:
+                    out += [t[at:a], mark]
+                at = max(at, b)
+            return "".join([*out, t[at:]])
+
         def work(texts: pa.Array, _):
             return [pa.array([None if t is None else cut(t) for t in texts.to_pylist()], pa.string())]
 
