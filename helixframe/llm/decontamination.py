@@ -12,18 +12,22 @@ several ids all count; a null item_id is written as the empty string.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import kernels as K
-from helixframe.llm.shared import per_text
+from helixframe.llm.shared import fresh, per_text, stash
 
 WINDOW, GRAM = 8, 4
 #: Most bytes of benchmark text that one broadcast index is made of; more benchmark text goes in blocks.
 INDEX_BYTES = 32 << 20
+#: Up to so many texts that blocks hit are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 _BITS = 22
 _PAIRS = 1 << 18
 
@@ -121,8 +125,8 @@ class Index:
 
     def search(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A +1/-1 trace of the hit words, and the (document, item text) pairs that occur."""
-        total, doc = len(words), K.owner(first, len(words))
-        trace, docs, items = np.zeros(total + 1, np.int64), [], []
+        total, doc, many = len(words), K.owner(first, len(words)), len(self.ids) + 1
+        trace, met = np.zeros(total + 1, np.int64), [np.zeros(0, np.int64)]
         for p, q in self.grams.pairs(*winnow(words, first)):
             near = np.arange(GRAM - WINDOW, WINDOW)
             i, j = p[:, None] + near, q[:, None] + near
@@ -134,24 +138,20 @@ class Index:
                 at = p[full] + near[s]
                 np.add.at(trace, at, 1)
                 np.add.at(trace, at + WINDOW, -1)
-                docs.append(doc[at])
-                items.append(self.item[q[full]])
+                met.append(np.unique(doc[at] * many + self.item[q[full]]))
         for n, keys in self.short.items():
             grams = K.lines_up(words, n)
             at = np.flatnonzero(K.within(first, total, n))
             for p, k in keys.pairs(at, grams[at]):
                 np.add.at(trace, p, 1)
                 np.add.at(trace, p + n, -1)
-                docs.append(doc[p])
-                items.append(k)
-        if not docs:
-            return trace, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        met = np.unique(np.concatenate(docs) * (len(self.ids) + 1) + np.concatenate(items))
-        return trace, met // (len(self.ids) + 1), met % (len(self.ids) + 1)
+                met.append(np.unique(doc[p] * many + k))
+        both = np.unique(np.concatenate(met))
+        return trace, both // many, both % many
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, most: int = INDEX_BYTES):
-    """The distinct items in blocks of at most `most` bytes of text (or one item)."""
+    """The distinct items in blocks of at most `most` bytes of text (or one item), one at a time."""
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{text}`").alias("text"))
     items = items.where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -166,29 +166,19 @@ def blocks(benchmark: DataFrame, item_id: str, text: str, most: int = INDEX_BYTE
         yield items.where(block == r.block).toArrow()
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """Columns `keep` of docs with n_words, n_hit, items (ids, sorted as strings), spans (starts and ends of hit runs, in words).
-
-    A narrow pass over docs for each block of the benchmark: one pass while the benchmark's text is
-    within `index_bytes`.  Nothing of docs is shuffled or collected.
-    """
-    spark = docs.sparkSession
-    keep = ["doc_id"] if keep is None else list(keep)
-    indexes = [Index(b.column("id").to_pylist(), b.column("text")) for b in blocks(benchmark, item_id, item_text, index_bytes)] or [Index([], pa.array([], pa.string()))]
-    shared = [spark.sparkContext.broadcast(x) for x in indexes]
+def _pass(docs: DataFrame, index: Index, *, text: str, keep: list[str]) -> DataFrame:
+    """Columns `keep` with n_words, and n_hit, items and spans by one index, which is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def make():
-        held = [x.value for x in shared]
+        held = shared.value
 
         def work(texts: pa.Array, _):
             words, first = tokens(texts)
-            n = len(texts)
-            trace, items = np.zeros(len(words) + 1, np.int64), [[] for _ in range(n)]
-            for index in held:
-                more, docs_met, texts_met = index.search(words, first)
-                trace += more
-                for d, k in zip(docs_met.tolist(), texts_met.tolist(), strict=True):
-                    items[d] += index.ids[k]
+            trace, docs_met, texts_met = held.search(words, first)
+            items: list[list[str]] = [[] for _ in range(len(texts))]
+            for d, k in zip(docs_met.tolist(), texts_met.tolist(), strict=True):
+                items[d] += held.ids[k]
             hit = np.cumsum(trace)[:-1] > 0
             upto = np.concatenate([[0], np.cumsum(hit)])
             first = np.append(first[:-1], len(words))
@@ -212,6 +202,54 @@ def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     return per_text(docs, make, FOUND, text=text, keep=keep)
 
 
+def _union(spans: Column) -> Column:
+    """Flat starts and ends of the union of lists of flat starts and ends."""
+    both = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2, F.lit(2)), lambda i: F.struct(F.get(x, i).alias("a"), F.get(x, i + 1).alias("b")))
+    empty = F.array().cast("array<bigint>")
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.greatest(last, s["b"])))
+        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) >= s["a"]), wider).otherwise(F.concat(done, F.array(s["a"], s["b"])))
+
+    return F.aggregate(F.array_sort(F.flatten(F.transform(spans, both))), empty, add)
+
+
+def find(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, index_bytes: int = INDEX_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Columns `keep` of docs with n_words, n_hit, items (ids, sorted as strings), spans (starts and ends of hit runs, in words).
+
+    A benchmark within `index_bytes` of text is one broadcast index, and docs take one narrow pass.  A larger one takes a pass for each block
+    of it, one index at a time; a pass gives the texts that it hits, which are put together by text afterwards.
+    """
+    keep = ["doc_id"] if keep is None else list(keep)
+    cut = blocks(benchmark, item_id, item_text, index_bytes)
+    some = list(itertools.islice(cut, 2))
+    index = lambda b: Index(b.column("id").to_pylist(), b.column("text"))
+    if len(some) < 2:
+        return _pass(docs, index(some[0]) if some else Index([], pa.array([], pa.string())), text=text, keep=keep)
+    key = fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.md5(F.col(f"`{text}`").cast("binary")))
+    found = None
+    for block in itertools.chain(some, cut):
+        hits = _pass(keyed, index(block), text=text, keep=[key]).toDF("key", "n_words", "n_hit", "items", "spans").where("n_hit > 0")
+        hits = stash(hits.select("key", "items", "spans").dropDuplicates(["key"]), "hits")
+        found = hits if found is None else found.unionByName(hits)
+    merged = found.groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"), _union(F.collect_list("spans")).alias("spans"))
+    merged = stash(merged.select("key", F.array_sort(F.array_distinct("items")).alias("items"), "spans"), "hits")
+    if merged.count() <= broadcast_rows:
+        merged = F.broadcast(merged)
+    base = _pass(keyed, Index([], pa.array([], pa.string())), text=text, keep=[*keep, key])
+    words, hit, items, spans = base.columns[-4:]
+    out = base.alias("d").join(merged.alias("h"), F.col(f"d.`{key}`") == F.col("h.key"), "left")
+    n_hit = F.aggregate("h.spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda s, x: F.struct((s["n"] + x * s["sign"]).alias("n"), (-s["sign"]).alias("sign")), lambda s: s["n"])
+    return out.select(
+        *(F.col(f"d.`{c}`") for c in [*keep, words]),
+        F.coalesce(n_hit, F.lit(0)).cast("long").alias(hit),
+        F.coalesce("h.items", F.array().cast("array<string>")).alias(items),
+        F.coalesce("h.spans", F.array().cast("array<bigint>")).alias(spans),
+    )
+
+
 def contaminated(items, at_least: int = 2):
     """A document counts as contaminated from so many items on."""
     return F.size(items) >= at_least
