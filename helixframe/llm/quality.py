@@ -4,8 +4,8 @@ A document's own evidence comes from logistic models of quality and of toxicity
 words.  Sites come in levels (host, then path).  A level's rate is that of its documents (labels where there
 are any, else the model's probability, at SOFT of a label's weight), shrunk toward the level above by
 as many pseudo-documents as the spread between the level's sites tells (method of moments), so a sparse site
-stays near the global prior.  The result's log-odds are the document's plus those of its path's rate
-over the global one.
+stays near the global prior.  A document's own share is taken out of the rates of its host and path, so that its text and its label do not
+count twice.  The result's log-odds are the document's plus those of its path's rate over the global one.
 
 The words are picked by counts over all labelled rows; the two models are fitted on SAMPLE_ROWS of
 them at most (those of least hash), on the driver.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import kernels as K
-from helixframe.llm.shared import per_text, stash
+from helixframe.llm.shared import drop, per_text, stash
 
 #: Labelled rows that the models are fitted on at most; words they look at for each target.
 SAMPLE_ROWS, PICKED = 10_000, 128
@@ -106,7 +106,7 @@ def _pick_words(labelled: DataFrame, targets: list[str], most: int) -> np.ndarra
 
     names = [f"n{i}" for i in range(2 * len(targets))]
     rows = labelled.select(*targets, "text").mapInArrow(count, ", ".join(["word long", *(f"{n} long" for n in names)]))
-    counts = rows.groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
+    counts = stash(rows.groupBy("word").agg(*(F.sum(n).alias(n) for n in names)), "word-counts")
     totals = labelled.agg(*(F.count_if((F.col(t) > 0.5) == bool(c)).alias(f"{t}{c}") for t in targets for c in (0, 1))).first()
     picked = set()
     for k in range(len(targets)):
@@ -116,6 +116,7 @@ def _pick_words(labelled: DataFrame, targets: list[str], most: int) -> np.ndarra
         a, b = F.col(names[2 * k]), F.col(names[2 * k + 1])
         gap = (b / n1 - a / n0) / F.sqrt((a + b + 1) * F.lit(1 / n0 + 1 / n1) / F.lit(n0 + n1))
         picked |= {r.word for r in counts.select("word", F.abs(gap).alias("gap")).orderBy(F.desc("gap"), "word").limit(most).collect()}
+    drop(counts)
     return np.array(sorted(picked), np.int64)
 
 
@@ -137,27 +138,35 @@ def _logit(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _shrunk(rows: DataFrame, levels: list[list[str]], target: str) -> tuple[DataFrame, float]:
-    """The last level's sites with `rate`, and the global rate."""
-    totals = rows.agg(F.sum(F.col("w") * F.col(target)), F.sum("w")).first()
-    prior = totals[0] / totals[1] if totals[1] else 0.5
-    above, keys_above = None, []
-    for keys in levels:
-        sites = rows.groupBy(*keys).agg(F.sum(F.col("w") * F.col(target)).alias("s"), F.sum("w").alias("n"))
-        if above is None:
-            sites = sites.withColumn("up", F.lit(prior))
-        else:
-            up = above.select(*(F.col(k).alias(f"_{k}") for k in keys_above), F.col("rate").alias("up"))
-            sites = sites.join(up, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys_above]).drop(*(f"_{k}" for k in keys_above))
-        sites = stash(sites, "sites")
-        # spread of the sites' rates beyond what sampling makes: n (rate - up)^2 ~ up (1 - up) (1 + (n - 1) rho)
-        share = F.col("s") / F.col("n")
-        m = sites.where("n > 0").agg(F.sum(F.col("n") * (share - F.col("up")) ** 2), F.sum(F.col("up") * (1 - F.col("up"))), F.sum(F.col("up") * (1 - F.col("up")) * (F.col("n") - 1))).first()
-        rho = min(0.999, max(1e-4, ((m[0] or 0) - (m[1] or 0)) / m[2])) if m[2] and m[2] > 0 else 1e-4
-        strength = (1 - rho) / rho
-        above = sites.withColumn("rate", (F.col("s") + strength * F.col("up")) / (F.col("n") + strength))
-        keys_above = keys
-    return stash(above.select(*keys_above, "rate"), "rates"), prior
+def strength(sites: DataFrame) -> float:
+    """Pseudo-documents by which sites(s, n, up) are shrunk toward up, by the method of moments.
+
+    The spread of the sites' rates beyond what sampling makes: n (rate - up)^2 ~ up (1 - up) (1 + (n - 1) rho).
+    """
+    share, free = F.col("s") / F.col("n"), F.col("up") * (1 - F.col("up"))
+    spread, even, pairs = sites.where("n > 0").agg(F.sum(F.col("n") * (share - F.col("up")) ** 2), F.sum(free), F.sum(free * (F.col("n") - 1))).first()
+    rho = min(0.999, max(1e-4, ((spread or 0) - (even or 0)) / pairs)) if pairs and pairs > 0 else 1e-4
+    return (1 - rho) / rho
+
+
+def sites(rows: DataFrame, target: str) -> tuple[DataFrame, float, float, float]:
+    """host, path with sums s and weights n of their rows and s_host and n_host of their hosts'; the global rate, and the strengths of hosts and paths."""
+    total, weight = rows.agg(F.sum(F.col("w") * F.col(target)), F.sum("w")).first()
+    prior = total / weight if weight else 0.5
+    paths = stash(rows.groupBy("host", "path").agg(F.sum(F.col("w") * F.col(target)).alias("s"), F.sum("w").alias("n")), "paths")
+    hosts = stash(paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("up", F.lit(prior)), "hosts")
+    of_hosts = strength(hosts)
+    above = hosts.select(F.col("host").alias("above"), F.col("s").alias("s_host"), F.col("n").alias("n_host"))
+    both = stash(paths.join(above, F.col("host").eqNullSafe(F.col("above"))).drop("above"), "sites")
+    of_paths = strength(both.withColumn("up", (F.col("s_host") + of_hosts * prior) / (F.col("n_host") + of_hosts)))
+    drop(paths, hosts)
+    return both, prior, of_hosts, of_paths
+
+
+def rate_of_others(own: Column, w: Column, prior: float, of_hosts: float, of_paths: float) -> Column:
+    """The shrunk rate of a path of sites() without a document of value own and weight w."""
+    host = (F.col("s_host") - w * own + of_hosts * prior) / (F.col("n_host") - w + of_hosts)
+    return (F.col("s") - w * own + of_paths * host) / (F.col("n") - w + of_paths)
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", quality: str = "quality", toxic: str = "toxic", sample_rows: int = SAMPLE_ROWS, keep_quality: float = KEEP_QUALITY, keep_toxic: float = KEEP_TOXIC) -> DataFrame:
@@ -173,9 +182,9 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
     known = known.where("quality is not null or toxic is not null")
     labelled = rows.join(F.broadcast(known), "id") if known.count() <= BROADCAST_LABELS else stash(rows.join(known, "id"), "labelled")
     picked = _pick_words(labelled, targets, PICKED)
-    # of the labelled ids those of least hash; their texts stay on the executors, only features come to the driver
+    # of the labelled ids those of least hash, of rows with one id the least text; the texts stay on the executors, only features come to the driver
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("id")
-    seen = labelled.join(F.broadcast(chosen), "id", "left_semi")
+    seen = labelled.join(F.broadcast(chosen), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"), *(F.first(t).alias(t) for t in targets))
 
     def extract():
         def work(texts: pa.Array, _):
@@ -185,7 +194,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
 
         return work
 
-    sample = per_text(seen, extract, T.StructType([T.StructField("x", T.ArrayType(T.FloatType()))]), text="text", keep=targets).limit(sample_rows).toArrow()
+    sample = per_text(seen, extract, T.StructType([T.StructField("x", T.ArrayType(T.FloatType()))]), text="text", keep=targets).toArrow()
     flat = [np.asarray(c.flatten()) for c in sample.column("x").chunks]
     x = np.concatenate([np.zeros(0), *flat]).reshape(-1, _STYLE + len(picked))
     weights = []
@@ -210,17 +219,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text
 
     made = T.StructType([T.StructField("quality_text", T.DoubleType()), T.StructField("toxic_text", T.DoubleType())])
     scored = stash(per_text(rows, make, made, text="text", keep=["id", "host", "path"]), "scored")
-    scored = stash(scored.join(known, "id", "left"), "scored")
-    out = scored
+    out = scored = stash(scored.join(known, "id", "left"), "scored")
     for t in targets:
-        has = F.col(t).isNotNull()
-        soft = scored.select("host", "path", F.when(has, 1.0).otherwise(SOFT).alias("w"), F.coalesce(t, f"{t}_text").alias(t))
-        rates, prior = _shrunk(soft, [["host"], ["host", "path"]], t)
-        if rates.count() <= BROADCAST_SITES:
-            rates = F.broadcast(rates)
-        rates = rates.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("rate").alias(f"{t}_rate"))
-        out = out.join(rates, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left").drop("_host", "_path")
-        odds = _logit(F.col(f"{t}_text")) + _logit(F.col(f"{t}_rate")) - _logit(F.lit(prior))
-        out = out.withColumn(f"{t}_all", 1 / (1 + F.exp(-odds)))
+        w = F.when(F.col(t).isNotNull(), 1.0).otherwise(SOFT)
+        own = F.coalesce(t, f"{t}_text")
+        table, prior, of_hosts, of_paths = sites(scored.select("host", "path", w.alias("w"), own.alias(t)), t)
+        if table.count() <= BROADCAST_SITES:
+            table = F.broadcast(table)
+        table = table.withColumnsRenamed({"host": "of_host", "path": "of_path"})
+        out = out.join(table, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
+        odds = _logit(F.col(f"{t}_text")) + _logit(rate_of_others(own, w, prior, of_hosts, of_paths)) - _logit(F.lit(prior))
+        out = out.withColumn(f"{t}_all", 1 / (1 + F.exp(-odds))).drop(*table.columns)
     kept = (F.col("quality_all") >= keep_quality) & (F.col("toxic_all") < keep_toxic)
     return out.select(F.col("id").alias("doc_id"), F.col("quality_all").alias("quality"), F.col("toxic_all").alias("toxic"), "quality_text", "toxic_text", kept.alias("keep"))
