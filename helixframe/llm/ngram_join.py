@@ -5,9 +5,9 @@ Texts whose sets have Jaccard similarity THRESHOLD or more are linked.  `banding
 for RECALL at the threshold; rows are shuffled by band hash and every pair that is tried is verified on
 the full sets (of 64-bit run hashes).
 
-A bucket of texts that share a band hash is settled once all its texts are in one component, or have all been tried
-against each other.  First every text is tried against one leader, that of its largest bucket; then against the leaders
-of those of its buckets that are still of another component.  Where that leaves a bucket's other texts in parts, they meet in tasks that index
+A bucket of texts that share a band hash is settled once all its texts are in one component.  Buckets of the same texts count as one.
+First every text is tried against a few leaders, of those of its buckets the ones that it shares most buckets with.
+Where that leaves a bucket in parts, its texts meet in tasks that index
 their runs: one lookup of a text's runs gives its exact similarity to all texts of the index, and only what joins parts is given out.
 So no partner is capped, no pair within a bucket becomes a row, and the components are those of all links among candidates.
 
@@ -33,17 +33,17 @@ from pyspark.sql import types as T
 
 from helixframe.llm import kernels as K
 from helixframe.llm.decontamination import tokens
-from helixframe.llm.shared import drop, fresh, per_text, stash
+from helixframe.llm.shared import drop, fresh, packed, per_text, stash
 
 N, THRESHOLD, RECALL, MOST_HASHES = 5, 0.8, 0.9999, 128
 #: Ids of up to so many texts (24 bytes each) are broadcast to pick rows of documents; more go by shuffle.
 BROADCAST_ROWS = 500_000
-#: Sets of up to so many bytes are broadcast to the pairs that they are tried in.
-BROADCAST_BYTES = 32 << 20
 #: Bytes of runs that one task indexes: smaller groups share a task, larger ones are cut into slices of about so many.
 TASK_BYTES = 4 << 20
-#: Different orders by which bands choose leaders.
-LEADS = 3
+#: Leaders that a text is tried against.
+LEADERS = 2
+#: Rounds of label propagation after which labels also jump to their labels' labels, for long chains.
+PLAIN_ROUNDS = 4
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -125,35 +125,43 @@ def sets(docs: DataFrame, *, text: str, keep: list[str], n: int) -> DataFrame:
     return per_text(docs, make, T.StructType([T.StructField("runs", T.ArrayType(T.LongType()))]), text=text, keep=keep)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, label of all nodes of links(a, b): the least node of its component.
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, label of all nodes of links(a, b), of which there are `rows` at most: the least node of its component.
 
-    Each round every node takes the least label among its neighbours', then its label's label.  Both sides of each
-    join are read from written tables, so that Spark can split what a hot node or label draws.
+    Each round every node takes the least label among its neighbours', and after some rounds also its label's label.
+    Both sides of each join are read from written tables, so that Spark can split what a hot node or label draws.
     """
+    most = None if rows is None else 2 * rows
     both = links.where("a != b").select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
-    edges = stash(both.select("e.u", "e.v").distinct(), "edges")
-    labels = stash(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
+    edges = stash(packed(both.select("e.u", "e.v").distinct(), most), "edges")
+    labels = stash(packed(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), most), "labels")
+    turn = 0
     while True:
-        around = edges.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        nearer = stash(labels.join(around, F.col("node") == F.col("u")).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label")), "nearer")
-        jump = nearer.select(F.col("node").alias("to"), F.col("label").alias("next"))
-        before, labels = labels, stash(nearer.join(jump, F.col("label") == F.col("to")).select("node", F.least("label", "next").alias("label"), "was"), "labels")
+        met = packed(edges.join(labels.select(F.col("node").alias("v"), "label"), "v").select("u", "label"), most)
+        around = met.groupBy("u").agg(F.min("label").alias("m"))
+        nearer = labels.join(around, F.col("node") == F.col("u")).select("node", F.least("label", "m").alias("label"), F.col("label").alias("was"))
+        before, labels = labels, stash(packed(nearer, most), "labels")
+        if turn >= PLAIN_ROUNDS:
+            near = labels
+            jump = near.select(F.col("node").alias("to"), F.col("label").alias("next"))
+            labels = stash(packed(near.join(jump, F.col("label") == F.col("to")).select("node", F.least("label", "next").alias("label"), "was"), most), "labels")
+            drop(near)
         settled = labels.where("label != was").isEmpty()
-        drop(before, nearer)
+        drop(before)
         if settled:
             drop(edges)
             return labels
+        turn += 1
 
 
-def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+def joined_components(labels: DataFrame, links: DataFrame, rows: int | None = None) -> DataFrame:
     """node, label after more links(a, b): the components themselves are joined, as nodes of a smaller graph."""
     ends = links
     for c in "ab":
         name = labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         ends = ends.join(name, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
-    ends = stash(ends.select("a", "b", "a_label", "b_label"), "ends")
-    joined = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")))
+    ends = stash(packed(ends.select("a", "b", "a_label", "b_label"), rows), "ends")
+    joined = components(ends.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")), rows)
     over = joined.select(F.col("node").alias("label"), F.col("label").alias("over"))
     known = labels.select("node", "label").unionByName(ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_label").alias("label")), F.struct(F.col("b").alias("node"), F.col("b_label").alias("label")))).alias("e")).select("e.node", "e.label")).distinct()
     out = stash(known.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label")), "labels")
@@ -267,83 +275,68 @@ def _pick(docs: DataFrame, few: DataFrame, on: list[str], how: str, most: int) -
 
 
 class Join:
-    """The tables of one join: rows (id, node), nodes (node, id, copies), sets (node, runs), labels (node, label) of the linked nodes."""
+    """The tables of one join: rows (id, node), nodes (node, id, copies), sets (node, turn, runs), labels (node, label) of the linked nodes."""
 
     def __init__(self, docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, most_hashes: int = MOST_HASHES, broadcast_rows: int = BROADCAST_ROWS):
         bands, rows = banding(threshold, recall, most_hashes)
         body = F.col(f"`{text}`")
         self.threshold, self.broadcast_rows = threshold, broadcast_rows
         keyed = docs.select(F.col(f"`{doc_id}`").alias("id"), node(body).alias("node"), body.alias("text"))
-        signed = stash(signatures(keyed, text="text", keep=["id", "node"], n=n, bands=bands, rows=rows), "signatures")
-        self.rows = stash(signed.select("id", "node"), "rows")
-        banded = stash(signed.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "banded")
-        self.nodes = stash(banded.select("node", "id", "copies"), "nodes")
-        drop(signed)
+        self.rows = stash(signatures(keyed, text="text", keep=["id", "node"], n=n, bands=bands, rows=rows), "signatures")
+        self.nodes = stash(self.rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands")), "nodes")
         bucket = F.xxhash64("band", "key").alias("bucket")
-        every = banded.select("node", F.posexplode("bands").alias("band", "key")).select(bucket, "node", F.xxhash64("node", F.col("band") % LEADS).alias("turn"))
-        shared = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("turn", "node")).alias("lead")).where("n > 1")
-        shared = stash(shared.select("bucket", "n", F.col("lead.node").alias("leader")), "buckets")
-        self.members = stash(every.select("bucket", "node").join(shared, "bucket"), "members")
-        drop(banded, shared)
+        every = self.nodes.select("node", F.posexplode("bands").alias("band", "key")).select(bucket, "node", turn(F.col("node")).alias("turn"))
+        shared = every.groupBy("bucket").agg(F.count("*").alias("n"), F.min("turn").alias("leader"), F.bit_xor("turn").alias("mark"), F.bit_xor(F.xxhash64("turn")).alias("again")).where("n > 1")
+        shared = shared.groupBy("n", "leader", "mark", "again").agg(F.min("bucket").alias("bucket"), F.count("*").alias("times"))
+        shared = stash(shared.select("bucket", "leader", "times"), "buckets")
+        self.members = stash(every.select("bucket", "node", "turn").join(shared, "bucket"), "members")
         needed = self.members.select("node").distinct().join(self.nodes, "node").select("id", "node")
         texts = _pick(keyed, needed, ["id", "node"], "left_semi", broadcast_rows)
-        self.sets = stash(sets(texts, text="text", keep=["node"], n=n).dropDuplicates(["node"]), "sets")
+        found = sets(texts, text="text", keep=["node"], n=n).dropDuplicates(["node"])
+        self.sets = stash(found.select("node", turn(F.col("node")).alias("turn"), "runs"), "sets")
+        drop(shared)
         self.labels = self._link()
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) with their likeness: b's set goes to each pair (broadcast, if those fit), then pairs are dealt by a."""
-        pairs = stash(pairs, "pairs")
-        a, b = (self.sets.select(F.col("node").alias(c), F.col("runs").alias(f"{c}_runs")) for c in "ab")
-        asked = b.join(pairs.select("b").distinct(), "b", "left_semi")
-        if (asked.agg(F.sum(F.size("b_runs"))).first()[0] or 0) * 8 <= BROADCAST_BYTES:
-            b = F.broadcast(asked)
-        both = pairs.join(b, "b").join(a, "a")
+    def _tried(self) -> DataFrame:
+        """a, b, likeness of each text and its leaders: a leader's set goes to each pair, then pairs are dealt by text."""
+        own = self.members.where("turn != leader").repartition("node").groupBy("node", "leader").agg(F.sum("times").alias("times"))
+        best = F.slice(F.sort_array(F.collect_list(F.struct("times", "leader")), False), 1, LEADERS)
+        pairs = own.groupBy("node").agg(best.alias("best")).select(F.col("node").alias("a"), F.explode("best.leader").alias("leader"))
+        b = self.sets.select(F.col("turn").alias("leader"), F.col("node").alias("b"), F.col("runs").alias("b_runs"))
+        a = self.sets.select(F.col("node").alias("a"), F.col("runs").alias("a_runs"))
+        both = pairs.join(b, "leader").join(a, "a")
         met = F.size(F.array_intersect("a_runs", "b_runs"))
-        out = stash(both.select("a", "b", (met / (F.size("a_runs") + F.size("b_runs") - met)).alias("likeness")), "tried")
-        drop(pairs)
-        return out
-
-    def _known(self, labels: DataFrame) -> DataFrame:
-        """members with their label and their leader's; a text without links is its own label."""
-        mine, theirs = labels.select("node", "label"), labels.select(F.col("node").alias("leader"), F.col("label").alias("leader_label"))
-        known = self.members.join(mine, "node", "left").join(theirs, "leader", "left")
-        return known.withColumns({"label": F.coalesce("label", "node"), "leader_label": F.coalesce("leader_label", "leader")})
+        return both.select("a", "b", (met / (F.size("a_runs") + F.size("b_runs") - met)).alias("likeness"))
 
     def _link(self) -> DataFrame:
-        followers = self.members.where("node != leader")
-        first = followers.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("node").alias("a"), F.col("best.leader").alias("b"))
-        tried = self._verified(first)
-        linked = F.col("likeness") >= self.threshold
-        labels = components(tried.where(linked))
-        # leaders of buckets that the first round left in parts
-        known = self._known(labels).where("node != leader and label != leader_label")
-        second = known.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        again = self._verified(second)
-        wider = joined_components(labels, again.where(linked).select("a", "b"))
-        drop(tried, again, labels)
-        # every leader has met all of its bucket: what is left are buckets whose other texts are in parts
-        known = stash(self._known(wider).where("node != leader").select("bucket", "node", "label"), "known")
-        parts = known.groupBy("bucket", "label").agg(F.lit(1).alias("one"))
-        open_ = stash(parts.groupBy("bucket").agg(F.count("*").alias("parts")).where("parts > 1").select("bucket"), "open")
-        if open_.isEmpty():
+        most = LEADERS * self.sets.count()
+        links = stash(packed(self._tried().where(F.col("likeness") >= self.threshold).select("a", "b"), most), "links")
+        labels = components(links, most)
+        drop(links)
+        known = self.members.select("bucket", "node").join(labels.select("node", "label"), "node", "left")
+        known = stash(known.select("bucket", "node", F.coalesce("label", "node").alias("label")), "known")
+        part = F.xxhash64("label")
+        open_ = stash(known.groupBy("bucket").agg(F.min(part).alias("first"), F.max(part).alias("last")).where("first != last").select("bucket"), "open")
+        some = open_.count()
+        if not some:
             drop(known, open_)
-            return wider
-        few = F.broadcast(open_) if open_.count() <= self.broadcast_rows else open_
-        texts = stash(known.join(few, "bucket").join(self.sets, "node").select("bucket", "node", "label", "runs"), "open-texts")
+            return labels
+        texts = known.join(F.broadcast(open_) if some <= self.broadcast_rows else open_, "bucket").join(self.sets, "node")
+        texts = stash(texts.select("bucket", "node", "label", "runs"), "open-texts")
+        drop(known, open_)
         found = stash(_joining(_met(texts, "bucket", self.broadcast_rows), "bucket", self.threshold), "found")
-        labels = joined_components(wider, found.select("a", "b"))
-        drop(known, open_, texts, found, wider)
-        return labels
+        drop(texts)
+        wider = joined_components(labels, found.select("a", "b"), most)
+        drop(found, labels)
+        return wider
 
     def classes(self) -> DataFrame:
         """node, label (the class's least node), id (least of the text's copies), copies, class_id of every distinct non-empty text."""
-        labelled = stash(self.labels.select("node", "label").join(self.nodes, "node"), "labelled")
-        least = stash(labelled.groupBy("label").agg(F.min("id").alias("class_id")), "classes")
-        joined = labelled.join(least, "label").select("node", "label", "class_id")
-        alone = self.nodes.join(joined, "node", "left")
-        out = stash(alone.select("node", F.coalesce("label", "node").alias("label"), "id", "copies", F.coalesce("class_id", "id").alias("class_id")), "node-classes")
-        drop(labelled, least)
-        return out
+        labelled = stash(self.labels.select("node", "label").join(self.nodes.select("node", "id"), "node"), "labelled")
+        least = labelled.groupBy("label").agg(F.min("id").alias("class_id"))
+        joined = labelled.join(stash(least, "classes"), "label").select("node", "label", "class_id")
+        alone = self.nodes.select("node", "id", "copies").join(joined, "node", "left")
+        return alone.select("node", F.coalesce("label", "node").alias("label"), "id", "copies", F.coalesce("class_id", "id").alias("class_id"))
 
     def linked(self) -> DataFrame:
         """node, linked: the rows (its own among them) whose texts are similar, of every text of a component."""
@@ -360,32 +353,32 @@ class Join:
         whose texts have the similarity.
         """
         known = self.classes().join(self.linked(), "node", "left").select("node", "class_id", (F.coalesce("linked", "copies") - 1).alias("n_links"))
-        self.close()
-        out = self.rows.alias("r").join(known.alias("c"), "node", "left")
+        drop(self.members, self.sets)
+        out = self.rows.select("id", "node").alias("r").join(known.alias("c"), "node", "left")
         return out.select(F.col("r.id").alias("doc_id"), F.coalesce("class_id", "r.id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
-    def close(self) -> None:
-        """Delete the join's tables but rows; what classes() and linked() have returned stays."""
-        drop(self.members, self.sets, self.nodes, self.labels)
-
 
 def node(text: Column) -> Column:
     """What copies of a text share: 16 bytes; null for null and empty texts."""
     return F.when(text != "", F.unhex(F.md5(text.cast("binary"))))
 
 
+def turn(node: Column) -> Column:
+    """The order by which a bucket's leader is its least text."""
+    return F.xxhash64(node)
+
+
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs without all rows of a class but the one of least id (and of rows repeated with it, one)."""
     found = Join(docs, doc_id=doc_id, text=text, **options)
     classes = found.classes()
-    found.close()
     rows = found.rows.where("node is not null").groupBy("id", "node").agg(F.count("*").alias("times"))
     # a class's least id may stand on several texts, or be null: the text that comes first stays
     heads = classes.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("head"))
     heads = heads.select(F.col("head.id").alias("head_id"), F.col("head.node").alias("head_node"))
     marked = rows.join(heads, F.col("id").eqNullSafe(F.col("head_id")) & (F.col("node") == F.col("head_node")), "left")
     marked = stash(marked.select("id", "node", F.col("head_node").isNotNull().alias("stays"), "times").where("not stays or times > 1"), "marked")
-    drop(classes, found.rows)
+    drop(found.rows, found.nodes, found.members, found.sets, found.labels)
     key = fresh(docs, "id_of_row")
     body = fresh(docs, "node_of_row")
     keyed = docs.withColumns({key: F.col(f"`{doc_id}`"), body: node(F.col(f"`{text}`"))})

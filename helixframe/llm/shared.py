@@ -71,6 +71,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+#: Short rows that are worth a task.
+ROWS_A_TASK = 200_000
+
+
+def packed(df: DataFrame, rows: int | None) -> DataFrame:
+    """df, of at most `rows` short rows, in no more tasks than they are worth (twice the cores at least), without a shuffle."""
+    if rows is None:
+        return df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_A_TASK)))
+
+
 def drop(*stashed: DataFrame) -> None:
     """Delete tables that `stash` wrote, once nothing reads them any more.
 
