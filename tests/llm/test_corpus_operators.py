@@ -87,11 +87,10 @@ def test_ngram_join(spark, broadcast_rows):
     assert ngram_join.Join(table(spark, texts).limit(0)).documents().count() == 0 == ngram_join.one_of_each(table(spark, texts).limit(0)).count()
 
 
-@pytest.mark.parametrize("task_bytes, broadcast_bytes, most_hashes", [(ngram_join.TASK_BYTES, ngram_join.BROADCAST_BYTES, 128), (3000, 0, 128), (500, 0, 600)])
-def test_ngram_join_counts_all_links(spark, monkeypatch, task_bytes, broadcast_bytes, most_hashes):
+@pytest.mark.parametrize("task_bytes, most_hashes", [(ngram_join.TASK_BYTES, 128), (500, 600)])
+def test_ngram_join_counts_all_links(spark, monkeypatch, task_bytes, most_hashes):
     """Also with groups cut into many slices, and with more bands of fewer rows, whose buckets stay in parts."""
     monkeypatch.setattr(ngram_join, "TASK_BYTES", task_bytes)
-    monkeypatch.setattr(ngram_join, "BROADCAST_BYTES", broadcast_bytes)
     monkeypatch.setattr(ngram_join, "banding", lambda *_: (most_hashes // 2, 2) if most_hashes > 128 else (24, 5))
     texts = corpus(1)
     sets = [runs(t) for t in texts]
