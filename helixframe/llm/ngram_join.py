@@ -209,19 +209,12 @@ def _met(texts: DataFrame, group: str, most: int) -> DataFrame:
 
 def _numbers(values: pa.ChunkedArray) -> np.ndarray:
     """Equal values as equal numbers from 0."""
-    return values.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-
-
-def _lookups(table: pa.Table, group: str, threshold: float):
-    """(row, rows similar to it and of its group, their likeness): of one slice all, and of two those of the second among the first."""
-    own, groups = table.column("own").to_numpy(), _numbers(table.column(group))
-    one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    first = table.column("i")[0].as_py()
-    index = np.flatnonzero(own == first)
-    ask = index if one else np.flatnonzero(own != first)
-    if not len(index):
-        return
-    runs = table.column("runs").combine_chunks()
+    return values.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lookups(table: pa.Table, group: str, threshold: float, index: np.ndarray, ask: np.ndarray):
+    """(row, rows of the index that are similar to it and of its group, their likeness) of each row of ask."""
+    groups, runs = _numbers(table.column(group)), table.column("runs").combine_chunks()
     indexed = _index(runs.take(pa.array(index)))
     for k in ask.tolist():
         near = _near(*indexed, np.asarray(runs[k].values))
@@ -234,10 +227,11 @@ def _count(met: DataFrame, group: str, threshold: float) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         copies, linked = table.column("copies").to_numpy(), np.zeros(table.num_rows, np.int64)
-        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        for k, hits, _ in _lookups(table, group, threshold):
+        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        index = np.flatnonzero(own == i)
+        for k, hits, _ in _lookups(table, group, threshold, index, np.flatnonzero(own == j)) if len(index) else ():
             linked[k] += copies[hits].sum()
-            if not one:
+            if i != j:
                 linked[hits] += copies[k]
         return pa.table({"node": table.column("node"), "linked": pa.array(linked)})
 
@@ -245,13 +239,19 @@ def _count(met: DataFrame, group: str, threshold: float) -> DataFrame:
 
 
 def _joining(met: DataFrame, group: str, threshold: float) -> DataFrame:
-    """a, b, likeness of rows dealt by _met, with labels: links within a group, such as still join labels in the task."""
+    """a, b, likeness of rows dealt by _met, with labels: links within a group, such as still join labels in the task.
+
+    Of each group all texts but those of its largest label are looked up.
+    """
 
     def work(table: pa.Table) -> pa.Table:
         nodes, label = table.column("node"), _numbers(table.column("label"))
         root = np.arange(label.max() + 1)
+        both, part, n = np.unique(_numbers(table.column(group)) * len(root) + label, return_inverse=True, return_counts=True)
+        by = np.lexsort((n, both // len(root)))
+        main = by[np.append(both[by][1:] // len(root) != both[by][:-1] // len(root), True)]
         out = []
-        for k, hits, near in _lookups(table, group, threshold):
+        for k, hits, near in _lookups(table, group, threshold, np.arange(table.num_rows), np.flatnonzero(~np.isin(part, main))):
             while True:  # one hit for each component that is not the text's own yet
                 more = root[label[hits]] != root[label[k]]
                 hits, near = hits[more], near[more]
@@ -310,7 +310,7 @@ class Join:
 
     def _link(self) -> DataFrame:
         most = LEADERS * self.sets.count()
-        links = stash(packed(self._tried().where(F.col("likeness") >= self.threshold).select("a", "b"), most), "links")
+        links = stash(self._tried().where(F.col("likeness") >= self.threshold).select("a", "b"), "links")
         labels = components(links, most)
         drop(links)
         known = self.members.select("bucket", "node").join(labels.select("node", "label"), "node", "left")
