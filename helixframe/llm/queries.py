@@ -57,7 +57,6 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         decontamination.contaminated(F.col("items")).alias("contaminated"),
-        "spans",
     )
 
 
@@ -84,5 +83,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: All texts against all by the runs that they share, and the components of the links by reaching out from each text.
+NGRAM_JOIN = f"""with recursive texts as (
+    select text, min(doc_id) as id, count(*) as copies, {_WORDS} as w from documents where text != '' group by text),
+  sets as (
+    select distinct id, array_to_string(w[i:i + 4], ' ') as run from (select id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from texts where len(w) > 0)),
+  sizes as (select id, count(*) as n from sets group by id),
+  met as (select a.id as a, b.id as b, count(*) as n from sets a join sets b on a.run = b.run and a.id != b.id group by all),
+  links as (select a, b from met join sizes x on x.id = a join sizes y on y.id = b where met.n >= 0.8 * (x.n + y.n - met.n)),
+  reached as (select id as a, id as b from texts union select r.a, l.b from reached r join links l on l.a = r.b),
+  classes as (select a as id, min(b) as class_id from reached group by a),
+  linked as (select a as id, sum(copies) as n from links join texts on id = b group by a)
+  select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, cast(coalesce(l.n, 0) + coalesce(t.copies, 1) - 1 as bigint) as n_links
+  from documents d left join texts t on t.text = d.text left join classes c on c.id = t.id left join linked l on l.id = t.id"""
+
+#: All windows of items against all runs of as many words of documents.
+DECONTAMINATION = f"""with docs as (select doc_id, {_WORDS} as w from documents),
+  items as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+  windows as (
+    select distinct item, least(len(w), 8) as n, array_to_string(w[i:i + least(len(w), 8) - 1], ' ') as run
+    from (select item, w, unnest(range(1, len(w) - least(len(w), 8) + 2)) as i from items where len(w) > 0)),
+  sizes as (select distinct n from windows),
+  runs as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as run from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, sizes where len(w) >= n)),
+  met as (select doc_id, item, i, r.n from runs r join windows v on v.run = r.run and v.n = r.n),
+  hits as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + n)) as p from met) group by doc_id),
+  found as (select doc_id, count(*) as n, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from met) group by doc_id)
+  select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(h.n, 0) as n_hit, coalesce(f.n, 0) as n_items, sha256(coalesce(f.items, '')) as items_sha256, coalesce(f.n, 0) >= 2 as contaminated
+  from docs d left join hits h on h.doc_id = d.doc_id left join found f on f.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the queries that SQL can express over whole tables; the others are tested against brute force, a round trip, or held-out rows."""
+    return {"op5_ngram_join": NGRAM_JOIN, "op8_decontamination": DECONTAMINATION}
