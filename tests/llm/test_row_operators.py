@@ -1,5 +1,6 @@
 """Operators whose rows stand alone, against plain Python."""
 
+import collections
 import hashlib
 import math
 import re
@@ -206,6 +207,33 @@ def test_pseudonyms(spark):
         pseudonyms.pseudonymize(docs(spark, ODD), b"short")
 
 
+def test_equal_values_stay_linked_and_different_ones_apart(spark):
+    """Each kind is a one-to-one change within its format, and documents agree on it."""
+    rng = np.random.default_rng(7)
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    cards = {c + str(pseudonyms.luhn(c)) for c in ("4" + number(14) for _ in range(200))}
+    bodies = {number(18) for _ in range(200)}
+    values = {
+        "card": sorted(cards),
+        "iban": sorted(f"DE{98 - int(b + '131400') % 97:02d}{b}" for b in bodies),
+        "ssn": sorted({f"{rng.integers(1, 665):03d}-{rng.integers(1, 99):02d}-{rng.integers(1, 9999):04d}" for _ in range(200)}),
+        "date": sorted({f"{rng.integers(1950, 2020)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}" for _ in range(200)}),
+        "ip": sorted({f"{rng.integers(11, 100)}.{rng.integers(0, 256)}.{rng.integers(0, 256)}.{rng.integers(1, 255)}" for _ in range(200)}),
+        "phone": sorted({f"({rng.integers(201, 300)}) {rng.integers(201, 300)}-{number(4)}" for _ in range(200)}),
+        "email": sorted({f"{''.join(rng.choice(list('abcxyz'), 6))}@x.org" for _ in range(200)}),
+    }
+    texts = [f"{v} ." for own in values.values() for v in own]
+    texts += texts[::-1]
+    got = [r.text for r in pseudonyms.pseudonymize(docs(spark, texts).repartition(3), b"0123456789abcdef").orderBy("doc_id").collect()]
+    new = dict(zip(texts, got))
+    assert got == [new[t] for t in texts]
+    for kind, own in values.items():
+        changed = [new[f"{v} ."][:-2] for v in own]
+        assert len(set(changed)) == len(own) and sum(a != b for a, b in zip(own, changed)) > 0.9 * len(own), kind
+        assert all(re.sub(r"[0-9]", "9", a) == re.sub(r"[0-9]", "9", b) for a, b in zip(own, changed)) or kind in ("email", "iban", "ip"), kind
+    assert pseudonyms.pseudonymize(docs(spark, texts).limit(0), b"0123456789abcdef").count() == 0
+
+
 @pytest.mark.parametrize(
     "text, values",
     [
@@ -248,6 +276,25 @@ def test_language(spark):
     assert language.identify(docs(spark, ODD), language.profiles(train.limit(0))).where("lang_pred = 'und'").count() == len(ODD)
 
 
+def test_language_profiles_are_the_plain_counts(spark):
+    """Letters, pairs with borders, and triples around each letter, by count and then by code points."""
+    texts = ["The cat's été!", "a b, ab AB", None, "", "x" * 50]
+    table = docs(spark, texts, "en").unionByName(docs(spark, ["uno dos"], "es"))
+    want = {}
+    for name, own in (("en", texts), ("es", ["uno dos"])):
+        n = collections.Counter()
+        for t in own:
+            for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+                s = "\0" + w + "\0"
+                n.update(w)
+                n.update(s[i : i + 2] for i in range(len(s) - 1))
+                n.update(s[i : i + 3] for i in range(len(s) - 2))
+        code = lambda g: sum((1 if c == "\0" else ord(c) + 1) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        order = sorted(((-c, code(g)) for g, c in n.items()))[:10]
+        want |= {(name, g): i for i, (_, g) in enumerate(order)}
+    assert {(r.lang, r.gram): r.place for r in language.profiles(table, size=10).collect()} == want
+
+
 def test_language_distance_is_the_plain_one():
     model = language.Ranker(["a", "b"], np.array([0, 0, 1]), np.array([10, 20, 20]), np.array([0, 1, 0]), 400)
     d = model.distances(np.array([20, 20, 10, 30]))
