@@ -22,7 +22,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,8 @@ KINDS = ("assign", "access", "hex", "guess")
 MIN_COST = 10.0
 #: Words that are ranked, and letters of the shortest and longest.
 MOST_WORDS, SHORTEST, LONGEST = 20_000, 3, 24
+#: Parts that words are dealt into to find the most frequent.
+PARTS = 16
 
 # The patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -226,7 +228,8 @@ FOUND = T.StructType([*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T
 def learned_words(docs: DataFrame, *, text: str = "text", most: int = MOST_WORDS) -> list[str]:
     """The most frequent runs of SHORTEST to LONGEST letters a-z, lower-cased, over all texts without their values in credential contexts.
 
-    Counted within each task, and again after a shuffle; the driver gets `most` words.
+    Counted within each task, and again after a shuffle; the first of each of PARTS parts are taken before the first of all, so that
+    the driver is sent PARTS times `most` words at the most.
     """
     letter = np.zeros(256, bool)
     letter[97:123] = True
@@ -255,7 +258,10 @@ def learned_words(docs: DataFrame, *, text: str = "text", most: int = MOST_WORDS
         yield from rows()
 
     counts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()]
+    order = [F.desc("n"), F.col("word")]
+    first = F.row_number().over(Window.partitionBy(F.pmod(F.hash("word"), F.lit(PARTS))).orderBy(*order))
+    few = counts.withColumn("first", first).where(F.col("first") <= most)
+    return [r.word for r in few.orderBy(*order).limit(most).collect()]
 
 
 def _without_values(text: str) -> str:
