@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.operators import prefix
 from helixframe.operators.prefix import Running, fresh, running
 
 #: Bin sizes grow eightfold a level, from BIN to past any chromosome: an interval takes two bins a level at most.
@@ -146,10 +145,8 @@ def merge(intervals: DataFrame, *, on: tuple[str, str, str] = ("chrom", "start",
     c, s, e = on
     rows = intervals.select(F.col(c).alias("c"), F.col(s).cast("long").alias("s"), F.col(e).cast("long").alias("e")).where("c is not null and s is not null and e is not null")
     order = [F.col("s"), F.col("e")]
-    reached = running(rows, "c", "s", order, reach=Running(F.col("e")))
-    chunk = F.floor(F.col("s") / prefix.CHUNK).alias("chunk")
-    opens = F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s"))
-    marked = reached.select("c", chunk, "s", "e", opens.alias("opens"))
+    reached = running(rows, "c", "s", order, keep_chunk="chunk", reach=Running(F.col("e")))
+    marked = reached.withColumn("opens", F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach")), F.col("s")))
     here = Window.partitionBy("c", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     pieces = marked.withColumn("island", F.max("opens").over(here)).groupBy("c", "chunk", "island").agg(F.max("e").alias("e"))
     last = pieces.groupBy(F.col("c").alias("c_"), F.col("chunk").alias("chunk_")).agg(F.max("island").alias("last"))
