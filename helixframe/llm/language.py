@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helixframe.llm.shared import per_text
+from helixframe.llm import kernels as K
+from helixframe.llm.shared import per_text, trim
 
 PROFILE, TEXT_GRAMS = 400, 300
 #: More languages than this are taken as a column of something else; it bounds the broadcast profiles.
@@ -74,11 +75,10 @@ def profiles(docs: DataFrame, *, lang: str = "lang", text: str = "text", size: i
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys), pa.array(n)], ["lang", "gram", "n"])
 
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 500):
-                each, _ = grams(texts[lo : lo + 500])
+            for lo, hi in K.steps(batch.column(1)):
+                each, _ = grams(batch.column(1).slice(lo, hi - lo).to_pylist())
                 by: dict[str, list[np.ndarray]] = {}
-                for name, g in zip(langs[lo : lo + 500], each, strict=True):
+                for name, g in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), each, strict=True):
                     by.setdefault(name, []).append(g)
                 for name, parts in by.items():
                     keys, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -90,6 +90,7 @@ def profiles(docs: DataFrame, *, lang: str = "lang", text: str = "text", size: i
                 yield from rows()
                 held.clear()
         yield from rows()
+        trim()
 
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import kernels as K
-from helixframe.llm.shared import drop, per_text, shared_path, stash
+from helixframe.llm.shared import drop, per_text, shared_path, stash, trim
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 _MAGIC, _HEAD = b"HXID", struct.Struct("<4sIIIQQ")
@@ -53,7 +53,8 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole, self.piece = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.path, self.piece = path, Tokenizer.from_file(path)
+        self.whole: Tokenizer | None = Tokenizer.from_file(path)
         self.piece.normalizer = normalizers.Sequence([])
         self.piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind, self.low = np.full(self.LIMIT + 1, self.UNSAFE, np.uint8), np.zeros(self.LIMIT + 1, np.uint16)
@@ -66,6 +67,14 @@ class Encoder:
                 self._learn(chr(c))
         self.keys, self.off, self.len = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int64), np.zeros(self.SLOTS, np.int32)
         self.store, self.used = np.zeros(self.MOST_IDS, np.uint32), 0
+        self.whole = None  # a worker keeps it from the first text on that needs it
+
+    def _whole(self):
+        from tokenizers import Tokenizer
+
+        if self.whole is None:
+            self.whole = Tokenizer.from_file(self.path)
+        return self.whole
 
     def _by_pieces(self) -> bool:
         """Whether the tokenizer cuts and encodes as described; else every text goes to it whole."""
@@ -109,7 +118,7 @@ class Encoder:
         out = [flat[a:b] for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)]
         if odd.any():
             rows = np.flatnonzero(odd).tolist()
-            for i, e in zip(rows, self.whole.encode_batch_fast([texts[i] for i in rows], add_special_tokens=False), strict=True):
+            for i, e in zip(rows, self._whole().encode_batch_fast([texts[i] for i in rows], add_special_tokens=False), strict=True):
                 out[i] = np.array(e.ids, np.uint32)
         return out
 
@@ -296,6 +305,8 @@ def write(tokens: DataFrame, path: str, *, doc_id: str = "doc_id", file_bytes: i
                     number, held, size = number + 1, [], 0
         if held:
             yield pa.RecordBatch.from_arrays([K.binary_array([_block(part, number, held)])], ["block"])
+        held.clear()
+        trim()
 
     _put(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n", "control", "data").mapInArrow(assemble, "block binary"), f"{path}/ids")
 
@@ -356,6 +367,7 @@ def read(spark: SparkSession, path: str, *, with_ids: bool = True) -> DataFrame:
                         cols.append(K.binary_array([bytes(x) for x in own]))
                     yield pa.RecordBatch.from_arrays(cols, [f.name for f in schema.fields])
                     place, start = place + len(ids), start + int(upto[-1])
+        trim()
 
     fields = "part int, place long, start long, doc_id long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     schema = T._parse_datatype_string(fields)
