@@ -118,13 +118,23 @@ def trim() -> None:
         getattr(ctypes.CDLL(libc), "malloc_trim", lambda _: 0)(0)
 
 
-def per_text(docs: DataFrame, make, fields: T.StructType, *, text: str = "text", keep: list[str] | None = None, also: list[str] = ()) -> DataFrame:
+def _let_go(but: str | None) -> None:
+    for name in [x for x in kept if x != but]:
+        del kept[name]
+        trim()
+
+
+#: What a worker process keeps from task to task, by name.
+kept: dict[str, object] = {}
+
+
+def per_text(docs: DataFrame, make, fields: T.StructType, *, text: str = "text", keep: list[str] | None = None, also: list[str] = (), uses: str | None = None) -> DataFrame:
     """Rows of docs with the columns `keep` and those that `make` computes from each step of texts.
 
     make() is called once a task and returns a function from (texts, other columns by name) to a
     list of Arrow arrays in the order of `fields`.  Nothing is shuffled; a task holds one batch, whose bytes
     spark.sql.execution.arrow.maxBytesPerBatch bounds, and works on one step of it (kernels.STEP_BYTES of text) at a time.  A result whose name is taken in `keep` gets
-    leading underscores.
+    leading underscores.  Of what the worker keeps (`kept`) all but `uses` is let go first.
     """
     keep = ["doc_id"] if keep is None else list(keep)
     took = [docs.schema[c] for c in keep]
@@ -139,6 +149,7 @@ def per_text(docs: DataFrame, make, fields: T.StructType, *, text: str = "text",
     n, m = len(keep), len(also)
 
     def run(batches):
+        _let_go(uses)
         work = make()
         for batch in batches:
             texts = batch.column(n + m)

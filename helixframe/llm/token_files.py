@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helixframe.llm import kernels as K
-from helixframe.llm.shared import drop, per_text, shared_path, stash, trim
+from helixframe.llm.shared import drop, kept, per_text, shared_path, stash, trim
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 _MAGIC, _HEAD = b"HXID", struct.Struct("<4sIIIQQ")
@@ -189,14 +189,12 @@ class Encoder:
         return keep_off, keep_size, store
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One a process: what one task has encoded serves the next."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One a process: what one task has encoded serves the next, until the process works for another operator."""
+    found = kept.get("encoder")
+    if not isinstance(found, Encoder) or found.path != path:
+        found = kept["encoder"] = Encoder(path)
+    return found
 
 
 def default_path() -> str:
@@ -218,7 +216,7 @@ def tokenize(docs: DataFrame, *, text: str = "text", keep: list[str] | None = No
 
         return work
 
-    return per_text(docs, make, T.StructType([T.StructField("ids", T.BinaryType())]), text=text, keep=keep)
+    return per_text(docs, make, T.StructType([T.StructField("ids", T.BinaryType())]), text=text, keep=keep, uses="encoder")
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
