@@ -79,14 +79,15 @@ def with_reference(df: DataFrame, chunks: DataFrame, *, chrom: str = "chrom", st
     """df with the reference bases from start to end (both in), upper-cased; null where the reference does not reach.
 
     chunks(chrom, chunk_id, chunk_start, seq) has pieces of equal size, chunk_id = (chunk_start - 1) / size.  Equi-joined
-    on chromosome and chunk; only the spans asked for, each once, are put together.
+    on chromosome and chunk; only the spans asked for, each once, are put together.  The pieces are never broadcast: a plan guesses
+    their size from the files that they are made of, and takes a column of text for 20 bytes a row, so a genome would come to the driver.
     """
     size = chunks.where("chunk_id = 0").agg(F.max(F.length("seq"))).first()[0] or 1
     c, s, e = fresh([*df.columns, out], "span_chrom", "span_start", "span_end")
     asked = df.select(F.col(chrom).alias(c), F.col(start).cast("long").alias(s), F.col(end).cast("long").alias(e)).distinct()
     asked = asked.where(F.col(c).isNotNull() & (F.col(s) >= 1) & (F.col(s) <= F.col(e)))
     each = asked.withColumn("k", F.explode(F.sequence(F.floor((F.col(s) - 1) / size), F.floor((F.col(e) - 1) / size))))
-    pieces = chunks.select(F.col("chrom").alias("rc"), F.col("chunk_id").cast("long").alias("rk"), F.col("chunk_start").cast("long").alias("at"), "seq")
+    pieces = chunks.select(F.col("chrom").alias("rc"), F.col("chunk_id").cast("long").alias("rk"), F.col("chunk_start").cast("long").alias("at"), "seq").hint("merge")
     met = each.join(pieces, (F.col(c) == F.col("rc")) & (F.col("k") == F.col("rk")))
     lo, hi = F.greatest(s, "at"), F.col(e)
     part = F.substring(F.col("seq"), (lo - F.col("at") + 1).cast("int"), (F.least(hi, F.col("at") + size - 1) - lo + 1).cast("int"))
