@@ -10,7 +10,7 @@ from helixframe.plans import catalogue
 
 HERE = "/root/testdata/sf0.001"
 #: Queries that look bases up in the reference.
-LOOKUPS = ["gene_region_sequences", "indel_allele_check", "reference_allele_check"]
+LOOKUPS = ["gene_region_sequences", "indel_allele_check", "reference_allele_check", "variant_allele_check"]
 
 
 def plan_of(df):
