@@ -1,11 +1,12 @@
 """What the larger tables need of plans: nothing that grows with the genome or the table comes to the driver."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.operators import sequences
+from helixframe.operators import genes, sequences
 from helixframe.plans import catalogue
 
 HERE = "/root/testdata/sf0.001"
@@ -31,3 +32,31 @@ def test_reference_is_not_broadcast(spark):
 @pytest.mark.parametrize("name", LOOKUPS)
 def test_lookups_do_not_broadcast(spark, name):
     assert "Broadcast" not in plan_of(catalogue.QUERIES[name](spark, HERE))
+
+
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_lanes_take_no_call_for_each_island(spark, batch):
+    """Islands of one gene and of many, over ends of batches; a place missing."""
+    rng = random.Random(11)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice([1, 5, 400])
+        rows.append((i, rng.choice(["+", "-", None]), at, at + rng.choice([1, 30, 300])))
+    rows += [(900, "+", None, 5), (901, "+", None, 7), (902, None, None, None)]
+    df = spark.createDataFrame(rows, "gene_id long, strand string, start long, end long").repartition(3)
+    want = []
+    for strand in ("+", "-", None):
+        ends = []
+        own = [r for r in rows if r[1] == strand]
+        for g, _, s, e in sorted((r for r in own if r[2] is not None), key=lambda r: (r[2], r[3], r[0])):
+            lane = next((j for j, x in enumerate(ends) if x < s), len(ends))
+            ends[lane : lane + 1] = [e + genes.PAD]
+            want.append((g, strand, -lane))
+        want += [(r[0], strand, -j) for j, r in enumerate(r for r in own if r[2] is None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = genes.lanes(df, by=["strand"])
+        assert "FlatMapGroups" not in plan_of(found)
+        assert sorted(((r.gene_id, r.strand, r.lane) for r in found.collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
