@@ -46,6 +46,15 @@ def checked(df, error: Column, mode: str = "PERMISSIVE"):
     return marked.where(fail).drop("_error")
 
 
+def settled(df):
+    """df, each row's columns worked out once.
+
+    A filter on columns moves below the projection that makes them and takes copies of their expressions along, even into a function that is called
+    for each element; it does not move below a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 def valid_gene() -> Column:
     """What is wrong with a gene row, or null."""
     return (

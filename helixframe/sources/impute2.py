@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.functions.genotypes import dosage_record, hard_calls
-from helixframe.schemas import checked
+from helixframe.schemas import checked, settled
 
 #: Modes and the options that each takes.
 OPTIONS = {"line": set(), "dosage": {"prob_threshold", "is_chr23", "sex_vector"}, "hard_call": {"prob_threshold"}}
@@ -14,8 +14,9 @@ OPTIONS = {"line": set(), "dosage": {"prob_threshold", "is_chr23", "sex_vector"}
 
 def parse(lines: DataFrame, line: str = "value", mode: str = "PERMISSIVE") -> DataFrame:
     """name, chrom, pos, a1, a2, probabilities of text lines, batch or stream; empty lines go."""
-    parts = F.split(F.col(line), " ")
-    rows = lines.where(F.length(line) > 0).select(F.col(line).alias("_line"), parts.alias("r"))
+    parts = F.split("_line", " ")
+    rows = settled(lines.select(F.col(line).alias("_line"))).where(F.length("_line") > 0)
+    rows = settled(rows.select("_line", parts.alias("r")))
     n = F.size("r")
     triple = lambda i: F.array(*(F.get("r", i + j - 1).try_cast("double") for j in range(3)))
     each = F.transform(F.sequence(F.lit(6), F.greatest(n - 2, F.lit(6)), F.lit(3)), triple)
@@ -26,7 +27,7 @@ def parse(lines: DataFrame, line: str = "value", mode: str = "PERMISSIVE") -> Da
         .when(F.col("pos").isNull(), "position is not a number")
         .when(F.exists(F.flatten("probabilities"), lambda p: p.isNull()), "probability is not a number")
     )
-    return checked(rows, error, mode).drop("_line", "r")
+    return checked(settled(rows), error, mode).drop("_line", "r")
 
 
 def read(spark: SparkSession, path: str, mode: str = "line", *, errors: str = "FAILFAST", **options) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators import genes, sequences
 from helixframe.plans import catalogue
+from helixframe.sources import impute2
 
 HERE = "/root/testdata/sf0.001"
 #: Queries that look bases up in the reference.
@@ -60,3 +61,13 @@ def test_lanes_take_no_call_for_each_island(spark, batch):
         assert sorted(((r.gene_id, r.strand, r.lane) for r in found.collect())) == sorted(want)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("mode", ["FAILFAST", "DROPMALFORMED"])
+def test_genotype_lines_are_split_once(spark, mode):
+    """A check of parsed lines takes no copy of their splitting, or of what makes the lines, into the loop over samples."""
+    lines = spark.range(5).select(F.concat(F.lit("1 v"), F.col("id"), F.lit(" 7 A G"), F.repeat(F.lit(" 0.5 0.25 0.25"), F.lit(3))).alias("value"))
+    found = impute2.parse(lines, mode=mode)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("repeat(") <= 1
+    assert sorted(map(tuple, found.collect())) == [(f"v{i}", "1", 7, "A", "G", [[0.5, 0.25, 0.25]] * 3) for i in range(5)]
