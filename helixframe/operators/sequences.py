@@ -75,27 +75,71 @@ def base_base_correlation(seqs: DataFrame, k: int = 10, alphabet: str | None = "
     return seqs.select(uid, F.col(seq).alias("seq")).mapInArrow(run, f"`{uid}` {kind}, alphabet string, bbc array<double>")
 
 
-def with_reference(df: DataFrame, chunks: DataFrame, *, chrom: str = "chrom", start: str = "start", end: str = "end", out: str = "sequence") -> DataFrame:
+def with_reference(df: DataFrame, chunks: DataFrame, *, chrom: str = "chrom", start: str = "start", end: str = "end", out: str = "sequence", first: str | None = None) -> DataFrame:
     """df with the reference bases from start to end (both in), upper-cased; null where the reference does not reach.
 
+    first names a column for the base at start alone, which may be there where the end is not reached.
+
     chunks(chrom, chunk_id, chunk_start, seq) has pieces of equal size, chunk_id = (chunk_start - 1) / size.  Equi-joined
-    on chromosome and chunk; only the spans asked for, each once, are put together.  The pieces are never broadcast: a plan guesses
+    on chromosome and chunk; only the spans asked for, each once, are put together.  Pieces before the first or after the last
+    that any span asks for are left out before their text is shuffled.  The pieces are never broadcast: a plan guesses
     their size from the files that they are made of, and takes a column of text for 20 bytes a row, so a genome would come to the driver.
     """
     size = chunks.where("chunk_id = 0").agg(F.max(F.length("seq"))).first()[0] or 1
-    c, s, e = fresh([*df.columns, out], "span_chrom", "span_start", "span_end")
-    asked = df.select(F.col(chrom).alias(c), F.col(start).cast("long").alias(s), F.col(end).cast("long").alias(e)).distinct()
-    asked = asked.where(F.col(c).isNotNull() & (F.col(s) >= 1) & (F.col(s) <= F.col(e)))
-    each = asked.withColumn("k", F.explode(F.sequence(F.floor((F.col(s) - 1) / size), F.floor((F.col(e) - 1) / size))))
-    pieces = chunks.select(F.col("chrom").alias("rc"), F.col("chunk_id").cast("long").alias("rk"), F.col("chunk_start").cast("long").alias("at"), "seq").hint("merge")
+    c, s, e = fresh([*df.columns, out, *([first] if first else [])], "span_chrom", "span_start", "span_end")
+    piece_of = lambda at: F.floor((at - 1) / size)
+    spans = df.select(F.col(chrom).alias(c), F.col(start).cast("long").alias(s), F.col(end).cast("long").alias(e))
+    spans = spans.where(F.col(c).isNotNull() & (F.col(s) >= 1) & (F.col(s) <= F.col(e)))
+    each = spans.distinct().withColumn("k", F.explode(F.sequence(piece_of(F.col(s)), piece_of(F.col(e)))))
+    needed = F.col("chunk_id").between(spans.agg(piece_of(F.min(s))).scalar(), spans.agg(piece_of(F.max(e))).scalar())
+    pieces = chunks.where(needed).select(F.col("chrom").alias("rc"), F.col("chunk_id").cast("long").alias("rk"), F.col("chunk_start").cast("long").alias("at"), "seq").hint("merge")
     met = each.join(pieces, (F.col(c) == F.col("rc")) & (F.col("k") == F.col("rk")))
     lo, hi = F.greatest(s, "at"), F.col(e)
     part = F.substring(F.col("seq"), (lo - F.col("at") + 1).cast("int"), (F.least(hi, F.col("at") + size - 1) - lo + 1).cast("int"))
     whole = met.groupBy(c, s, e).agg(F.array_sort(F.collect_list(F.struct("k", part.alias("p")))).alias("parts"))
-    whole = whole.select(c, s, e, F.upper(F.array_join(F.transform("parts", lambda x: x["p"]), "")).alias(out)).where(F.length(out) == F.col(e) - F.col(s) + 1)
+    text = lambda parts: F.upper(F.array_join(F.transform(parts, lambda x: x["p"]), ""))
+    found = [F.when(F.length(text("parts")) == F.col(e) - F.col(s) + 1, text("parts")).alias(out)]
+    if first:
+        base = F.upper(F.array_join(F.transform(F.filter("parts", lambda x: x["k"] == piece_of(F.col(s))), lambda x: F.substring(x["p"], 1, 1)), ""))
+        found.append(F.when(F.length(base) == 1, base).alias(first))
+    whole = whole.select(c, s, e, *found)
     return df.join(whole, (F.col(chrom) == F.col(c)) & (F.col(start) == F.col(s)) & (F.col(end) == F.col(e)), "left").drop(c, s, e)
 
 
+def _snp_status(genome: Column, flip: bool) -> Column:
+    return F.when(genome == F.upper("ref"), "OK").when(genome == F.upper("alt"), "FLIPPED" if flip else "MISMATCH").otherwise("INVALID")
+
+
+def _turned(found: DataFrame) -> DataFrame:
+    """Alleles put right where the status is FLIPPED."""
+    turn = F.col("status") == "FLIPPED"
+    return found.withColumns({"ref": F.when(turn, F.col("alt")).otherwise(F.col("ref")), "alt": F.when(turn, F.col("ref")).otherwise(F.col("alt"))})
+
+
+def _gap() -> Column:
+    return (F.col("ref") == "-") | (F.col("alt") == "-")
+
+
+def _looked_up(variants: DataFrame, chunks: DataFrame, gap: Column) -> DataFrame:
+    """variants with _genome, the reference's bases of ref; where gap holds, both alleles are written with the base before first.
+
+    The base before and the bases of ref are one span, so the reference is read once.
+    """
+    rows = variants.withColumn("_gap", gap)
+    bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    rows = rows.withColumn("pos", F.when(F.col("_gap"), F.col("pos") - 1).otherwise(F.col("pos")))
+    more = F.when(F.col("_gap"), F.length(bare("ref"))).otherwise(F.length("ref") - 1)
+    rows = rows.withColumn("_end", F.coalesce(F.col("pos") + more, F.col("pos")))
+    rows = with_reference(rows, chunks, start="pos", end="_end", out="_genome", first="_base")
+    lead = lambda c: F.when(F.col("_gap"), F.concat(F.coalesce("_base", F.lit("?")), bare(c))).otherwise(F.col(c))
+    return rows.withColumns({"ref": lead("ref"), "alt": lead("alt")}).drop("_base", "_end")
+
+
+def _indel_status() -> Column:
+    good = F.coalesce(F.col("_genome") == F.upper("ref"), F.lit(False))
+    return F.when(good & F.col("_gap"), "FIXED").when(good, "OK").otherwise("MISMATCH")
+
+
 def check_snps(snps: DataFrame, chunks: DataFrame, *, flip: bool = False) -> DataFrame:
     """snps(chrom, pos, ref, alt) with genome, status (OK, FLIPPED, MISMATCH, INVALID) and, with flip, alleles put right.
 
@@ -103,10 +147,7 @@ def check_snps(snps: DataFrame, chunks: DataFrame, *, flip: bool = False) -> Dat
     the genome does not reach.
     """
     found = with_reference(snps, chunks, start="pos", end="pos", out="genome")
-    status = F.when(F.col("genome") == F.upper("ref"), "OK").when(F.col("genome") == F.upper("alt"), "FLIPPED" if flip else "MISMATCH").otherwise("INVALID")
-    found = found.withColumn("status", status)
-    turn = F.col("status") == "FLIPPED"
-    return found.withColumns({"ref": F.when(turn, F.col("alt")).otherwise(F.col("ref")), "alt": F.when(turn, F.col("ref")).otherwise(F.col("alt"))})
+    return _turned(found.withColumn("status", _snp_status(F.col("genome"), flip)))
 
 
 def check_indels(indels: DataFrame, chunks: DataFrame, *, fix: bool = False) -> DataFrame:
@@ -114,16 +155,8 @@ def check_indels(indels: DataFrame, chunks: DataFrame, *, fix: bool = False) ->
 
     With fix, gaps are written with the base before: pos - 1, and that base in front of both alleles.
     """
-    gap = (F.col("ref") == "-") | (F.col("alt") == "-")
-    rows = indels.withColumn("_gap", gap & F.lit(fix))
-    if fix:
-        rows = rows.withColumn("pos", F.when(gap, F.col("pos") - 1).otherwise(F.col("pos")))
-        rows = with_reference(rows, chunks, start="pos", end="pos", out="_base")
-        lead = lambda c: F.when(F.col("_gap"), F.concat(F.coalesce("_base", F.lit("?")), F.replace(F.col(c), F.lit("-"), F.lit("")))).otherwise(F.col(c))
-        rows = rows.withColumns({"ref": lead("ref"), "alt": lead("alt")}).drop("_base")
-    rows = with_reference(rows.withColumn("_end", F.col("pos") + F.length("ref") - 1), chunks, start="pos", end="_end", out="_genome")
-    good = F.coalesce(F.col("_genome") == F.upper("ref"), F.lit(False))
-    return rows.withColumn("status", F.when(good & F.col("_gap"), "FIXED").when(good, "OK").otherwise("MISMATCH")).drop("_gap", "_end", "_genome")
+    rows = _looked_up(indels, chunks, _gap() & F.lit(fix))
+    return rows.withColumn("status", _indel_status()).drop("_gap", "_genome")
 
 
 def check_variants(variants: DataFrame, chunks: DataFrame, *, flip: bool = False) -> DataFrame:

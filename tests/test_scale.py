@@ -71,3 +71,31 @@ def test_genotype_lines_are_split_once(spark, mode):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and plan.count("repeat(") <= 1
     assert sorted(map(tuple, found.collect())) == [(f"v{i}", "1", 7, "A", "G", [[0.5, 0.25, 0.25]] * 3) for i in range(5)]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def pieces_of(spark, text, size):
+    rows = [("1", i // size, i + 1, text[i : i + size]) for i in range(0, len(text), size)]
+    return spark.createDataFrame(rows, "chrom string, chunk_id long, chunk_start long, seq string")
+
+
+def test_pieces_that_nothing_asks_for_are_not_built(spark):
+    """Far pieces' text is an error."""
+    text = F.when(F.col("id").between(2, 4) | (F.col("id") == 0), F.repeat(F.lit("ACGTA"), F.lit(20))).otherwise(F.raise_error(F.lit("built")).cast("string"))
+    chunks = spark.range(40).select(F.lit("1").alias("chrom"), F.col("id").alias("chunk_id"), (F.col("id") * 100 + 1).alias("chunk_start"), text.alias("seq"))
+    asked = spark.createDataFrame([("1", 251, 253), ("1", 399, 402), ("1", None, 7), (None, 1, 7), ("2", 300, 301)], "chrom string, start long, end long")
+    found = {(r.chrom, r.start): r.sequence for r in sequences.with_reference(asked, chunks).collect()}
+    assert found == {("1", 251): "ACG", ("1", 399): "TAAC", ("1", None): None, (None, 1): None, ("2", 300): None}
+
+
+def test_gaps_take_one_lookup(spark):
+    """The base before a gap is there, too, where the deleted bases run past the reference, and where ref is null."""
+    rows = [(7, "GT", "-"), (10, "AC", "-"), (11, "A", "-"), (12, "A", "-"), (1, "A", "-"), (4, "-", "GG"), (5, None, "-"), (3, "GTA", "G"), (10, "ACC", "A")]
+    indels = spark.createDataFrame([("1", *r) for r in rows], "chrom string, pos long, ref string, alt string")
+    found = sequences.check_indels(indels, pieces_of(spark, "ACGTACGTAC", 4), fix=True)
+    assert optimized(found).count("collect_list(") == 1
+    want = {(6, "CGT", "C", "FIXED"), (9, "AAC", "A", "MISMATCH"), (10, "CA", "C", "MISMATCH"), (11, "?A", "?", "MISMATCH"), (0, "?A", "?", "MISMATCH"), (3, "G", "GGG", "FIXED"), (4, None, "T", "MISMATCH"), (3, "GTA", "G", "OK"), (10, "ACC", "A", "MISMATCH")}
+    assert {(r.pos, r.ref, r.alt, r.status) for r in found.collect()} == want
