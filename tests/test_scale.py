@@ -99,3 +99,14 @@ def test_gaps_take_one_lookup(spark):
     assert optimized(found).count("collect_list(") == 1
     want = {(6, "CGT", "C", "FIXED"), (9, "AAC", "A", "MISMATCH"), (10, "CA", "C", "MISMATCH"), (11, "?A", "?", "MISMATCH"), (0, "?A", "?", "MISMATCH"), (3, "G", "GGG", "FIXED"), (4, None, "T", "MISMATCH"), (3, "GTA", "G", "OK"), (10, "ACC", "A", "MISMATCH")}
     assert {(r.pos, r.ref, r.alt, r.status) for r in found.collect()} == want
+
+
+def test_single_bytes_are_cut_as_bytes(spark):
+    """Pieces with other characters are cut as text."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("acgt") for _ in range(40)) + "acég世t" + "".join(rng.choice("ACGT") for _ in range(40))
+    asked = [(s, s + n) for s in range(1, len(text) + 1) for n in (0, 1, 9, 30) if s + n <= len(text)]
+    df = spark.createDataFrame([("1", *a) for a in asked], "chrom string, start long, end long")
+    found = sequences.with_reference(df, pieces_of(spark, text, 10))
+    assert "as binary)" in optimized(found)
+    assert {(r.start, r.end): r.sequence for r in found.collect()} == {(s, e): text[s - 1 : e].upper() for s, e in asked}
