@@ -162,12 +162,13 @@ def check_indels(indels: DataFrame, chunks: DataFrame, *, fix: bool = False) ->
 
 
 def check_variants(variants: DataFrame, chunks: DataFrame, *, flip: bool = False) -> DataFrame:
-    """Both checks, by class."""
+    """Both checks, by class; with one lookup for both."""
     from helixframe.functions.variants import vclass
 
-    kind = vclass(F.col("ref"), F.col("alt"))
-    snps = check_snps(variants.where(kind == "SNP"), chunks, flip=flip).drop("genome")
-    return snps.unionByName(check_indels(variants.where(kind == "INDEL"), chunks, fix=flip))
+    rows = variants.withColumn("_snp", vclass(F.col("ref"), F.col("alt")) == "SNP")
+    rows = _looked_up(rows, chunks, ~F.col("_snp") & _gap() & F.lit(flip))
+    status = F.when(F.col("_snp"), _snp_status(F.col("_genome"), flip)).otherwise(_indel_status())
+    return _turned(rows.withColumn("status", status)).drop("_snp", "_gap", "_genome")
 
 
 def region_sequences(regions: DataFrame, chunks: DataFrame, *, species: str = "human") -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helixframe.functions import variants
 from helixframe.operators import genes, sequences
 from helixframe.plans import catalogue
 from helixframe.sources import impute2
@@ -110,3 +111,19 @@ def test_single_bytes_are_cut_as_bytes(spark):
     found = sequences.with_reference(df, pieces_of(spark, text, 10))
     assert "as binary)" in optimized(found)
     assert {(r.start, r.end): r.sequence for r in found.collect()} == {(s, e): text[s - 1 : e].upper() for s, e in asked}
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_both_classes_take_one_lookup(spark, flip):
+    rng = random.Random(3)
+    text = "".join(rng.choice("acGT") for _ in range(60))
+    alleles = ["A", "c", "G", "T", "-", "GT", "ACG", "", None]
+    rows = [(rng.choice(["1", "1", "1", "2", None]), rng.choice([None, *range(-1, 64)]), rng.choice(alleles), rng.choice(alleles), i) for i in range(600)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, ref string, alt string, i long")
+    chunks = pieces_of(spark, text, 7)
+    found = sequences.check_variants(df, chunks, flip=flip)
+    assert optimized(found).count("collect_list(") == 1
+    kind = variants.vclass(F.col("ref"), F.col("alt"))
+    apart = sequences.check_snps(df.where(kind == "SNP"), chunks, flip=flip).drop("genome").unionByName(sequences.check_indels(df.where(kind == "INDEL"), chunks, fix=flip))
+    assert found.columns == apart.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, apart.collect()))
