@@ -89,7 +89,8 @@ def with_reference(df: DataFrame, chunks: DataFrame, *, chrom: str = "chrom", st
     size = chunks.where("chunk_id = 0").agg(F.max(F.length("seq"))).first()[0] or 1
     c, s, e = fresh([*df.columns, out, *([first] if first else [])], "span_chrom", "span_start", "span_end")
     piece_of = lambda at: F.floor((at - 1) / size)
-    spans = df.select(F.col(chrom).alias(c), F.col(start).cast("long").alias(s), F.col(end).cast("long").alias(e))
+    span = F.struct(F.col(chrom).alias(c), F.col(start).cast("long").alias(s), F.col(end).cast("long").alias(e))
+    spans = df.select(F.explode(F.array(span)).alias("span")).select("span.*")  # no filter moves below a generator: it would repeat what makes the places
     spans = spans.where(F.col(c).isNotNull() & (F.col(s) >= 1) & (F.col(s) <= F.col(e)))
     each = spans.distinct().withColumn("k", F.explode(F.sequence(piece_of(F.col(s)), piece_of(F.col(e)))))
     needed = F.col("chunk_id").between(spans.agg(piece_of(F.min(s))).scalar(), spans.agg(piece_of(F.max(e))).scalar())
